@@ -153,7 +153,7 @@ def tokenize_and_pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         mask = column.is_null() if column.null_count else None
         at, parts, i = utf8(column)[1], [], 0
         while i < len(column):  # a few MB of text at a time
-            j = min(len(column), max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), "right")) - 1))
+            j = min(len(column), max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), "right")) - 1))
             ids, n = tokenizer(vocabulary).encode(column.slice(i, j - i), offsets=False)
             parts.append(_struct(ids, n, mask.slice(i, j - i) if mask is not None else None, block, percentile))
             i = j
