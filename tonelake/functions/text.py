@@ -94,6 +94,11 @@ def is_caps(raw: Column) -> Column:
     return (F.length(raw) >= 2) & (raw == F.upper(raw)) & (raw != F.lower(raw))
 
 
+def opaque(c: Column) -> Column:
+    """c itself, but a filter on it stays above: pushed down, it would copy c's expression once for every use, at every level."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def stripped(c: Column) -> Column:
     """Without white space at either end, of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

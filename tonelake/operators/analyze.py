@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import folded_tokens, raw_tokens
+from ..functions.text import folded_tokens, opaque, raw_tokens
 from ..lexicon import TYPES, Dictionary, Lexicon, builtin
 from . import guard, language, match, rules
 
@@ -46,7 +46,7 @@ def with_tokens(df: DataFrame, text: str = "text", lang: str | None = "lang") ->
     out = df.withColumn("raw", raw_tokens(F.col(text), F.col(lang) if lang else None)).withColumn("norm", folded_tokens(F.col("raw")))
     # tokens that fold to nothing go
     keep = lambda c: F.when(F.array_contains("norm", ""), F.filter(F.col(c), lambda x, i: F.get(F.col("norm"), i) != "")).otherwise(F.col(c))
-    return out.withColumns({"raw": keep("raw"), "norm": keep("norm")})
+    return out.withColumns({"raw": opaque(keep("raw")), "norm": opaque(keep("norm"))})
 
 
 def with_matches(df: DataFrame, cfg: SentimentConfig, lang: str = "lang", candidates: str | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def with_matches(df: DataFrame, cfg: SentimentConfig, lang: str = "lang", candid
         return df.withColumn("matches", F.array().cast(f"array<{match.MATCH}>"))
     if candidates is None:
         df, candidates = df.withColumn("__candidates", match.found(F.col("norm"), F.col(lang), cfg.lexicon())), "__candidates"
-    return df.withColumn("matches", match.without_overlap(F.col(candidates))).drop(candidates)
+    return df.withColumn("matches", opaque(match.without_overlap(F.col(candidates)))).drop(candidates)
 
 
 def with_rules(df: DataFrame, cfg: SentimentConfig, text: str = "text") -> DataFrame:
@@ -64,8 +64,8 @@ def with_rules(df: DataFrame, cfg: SentimentConfig, text: str = "text") -> DataF
     if not cfg.enable_rules:
         plain = F.transform("matches", lambda m: F.struct(*(m[c].alias(c) for c in ("start", "end", "text", "type", "lang", "score")), F.lit(False).alias("negated"), F.lit(False).alias("caps"), m["score"].alias("adjusted")))
         return df.withColumn("ruled", plain).withColumn("__score", F.aggregate("ruled", F.lit(0.0), lambda a, m: a + m["adjusted"])).withColumn("intensity", F.lit(0.0))
-    turn = F.when(F.size("matches") > 0, rules.turning_point(F.col("norm"), own))
-    df = df.withColumn("__turn", turn).withColumn("ruled", rules.adjusted(F.col("matches"), F.col("norm"), F.col("raw"), F.col("__turn"), own))
+    turn = opaque(F.when(F.size("matches") > 0, rules.turning_point(F.col("norm"), own)))
+    df = df.withColumn("__turn", turn).withColumn("ruled", opaque(rules.adjusted(F.col("matches"), F.col("norm"), F.col("raw"), F.col("__turn"), own)))
     return df.withColumns({"__score": rules.message_score(F.col("ruled"), F.col(text)), "intensity": rules.message_intensity(F.col("ruled"), F.col(text))}).drop("__turn")
 
 
@@ -84,7 +84,7 @@ def analyze_messages(df: DataFrame, cfg: SentimentConfig | None = None, text: st
     if cfg.enable_fallback and cfg.fallback is not None:
         other = F.when(~guard.technical(F.col("__text"), F.col("norm")), cfg.fallback(F.col("__text"), F.col("__lang")))
         score = score.when(other.isNotNull() & ~F.isnan(other), clamped(other * cfg.fallback_attenuation))
-    inner = inner.withColumn("__final", score.otherwise(0.0))
+    inner = inner.withColumn("__final", opaque(score.otherwise(0.0)))
     if cfg.enable_model and cfg.model is not None:
         inner = _modelled(inner, cfg)
     seen = F.filter("ruled", lambda m: ~m["negated"])
