@@ -44,7 +44,7 @@ def admitted(requests: DataFrame, at: str, order: str, by: str, policy: LLMScori
     A request is admitted if fewer than the allowed number were in the last 60 seconds; only admitted ones count, those exactly 60 seconds ago still do. The budget
     is full again after a pause of more than 60 seconds, so each run of requests without one is folded by itself."""
     ok = F.lit(True) if error is None else F.col(error).isNull()
-    secs = F.unix_micros(F.col(at)) if dict(requests.dtypes)[at] == "timestamp" else (F.col(at) * 1_000_000).cast("long")
+    secs = F.unix_micros(F.col(at).cast("timestamp")) if dict(requests.dtypes)[at].startswith("timestamp") else (F.col(at) * 1_000_000).cast("long")
     rows = requests.withColumn("__t", secs).withColumn("__ok", ok)
     turn = Window.partitionBy(by).orderBy("__t", order)
     last = F.max(F.when(F.col("__ok"), F.col("__t"))).over(turn.rowsBetween(Window.unboundedPreceding, -1))
