@@ -13,6 +13,7 @@ inside a list, is an error. Columns besides id and text are ignored, whatever th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lists, utf8
 from .words import mix
@@ -28,7 +30,7 @@ from .words import mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 L, N, O, S, NONE = range(5)  # letter, number, other, white space; not asked yet
-_BYTES, _MOST = 1 << 18, 600_000
+_BYTES, _MOST, _PART = 1 << 18, 600_000, 1 << 20
 _R = np.uint64(0xD1342543DE82EF95)
 _RINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
@@ -263,6 +265,21 @@ def decode_column(ids: Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids, starts, ends, n_tokens, decoded_ok) for every row."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), encode_column(F.col(text), vocabulary, check=True).alias("e"))
-    return out.select("doc_id", "e.ids", "e.starts", "e.ends", F.when(F.col("e").isNotNull(), F.size("e.ids")).alias("n_tokens"), "e.decoded_ok")
+    """(doc_id, ids, starts, ends, n_tokens, decoded_ok) for every row. A batch comes back in parts of about ``_PART`` bytes of text, so that neither side holds much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(vocabulary)
+        for batch in batches:
+            at, i = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))]), 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + _PART, "right")) - 1))
+                part, key = batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i)
+                mask, (ids, starts, ends, n) = _nulls(part), t.encode(part)
+                ok = pc.equal(t.decode(ids, n), part.cast(pa.string()))
+                many = pa.array(n.astype(np.int32), mask=part.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([key, *(lists(x, n, mask) for x in (ids, starts, ends)), many, ok], names=["doc_id", "ids", "starts", "ends", "n_tokens", "decoded_ok"])
+                i = j
+
+    kind = T.StructField("doc_id", docs.schema[doc_id].dataType)
+    schema = T.StructType([kind, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")), T.StructField("n_tokens", T.IntegerType()), T.StructField("decoded_ok", T.BooleanType())])
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

@@ -98,13 +98,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """A list array of the flat values, cut by sizes."""
+def lists(values: np.ndarray, sizes: np.ndarray, mask: pa.Array | None = None) -> pa.Array:
+    """A list array of the flat values, cut by sizes; null where mask is true."""
     at = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=at[1:])
     if at[-1] >= 2**31:
         raise ValueError("more than 2**31 values in one Arrow batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values), mask=mask)
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
