@@ -75,9 +75,9 @@ def _splitters(sizes: DataFrame, target: int, oversample: float, seed: int) -> l
     drawn = sizes.where(u < F.col("size") / F.lit(step)).withColumn("w", F.greatest(F.col("size").cast("double"), F.lit(step)))
     run = Window.partitionBy("group").orderBy("key", "number").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("group").orderBy("key", "number")
-    at = drawn.withColumn("part", F.floor(F.sum("w").over(run) / float(target))).withColumn("last", F.lag("part").over(before))
-    # a record that is larger than a shard begins one
-    cut = at.where("part > coalesce(last, 0) and last is not null")
+    at = drawn.withColumn("part", F.floor(F.sum("w").over(run) / float(target))).withColumns({"last": F.lag("part").over(before), "large": F.lag("size").over(before) >= target})
+    # a record that is larger than a shard begins one, and so does what follows it
+    cut = at.where("(part > coalesce(last, 0) or large) and last is not null")
     return sorted({(r.key, r.number) for r in cut.select("key", "number").collect()})
 
 
