@@ -107,6 +107,14 @@ def lists(values: np.ndarray, sizes: np.ndarray, mask: pa.Array | None = None) -
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values), mask=mask)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_key(doc_id: Column, text: Column) -> Column:
     """64 bits for a document row; rows with the same id and text share it."""
     return F.xxhash64(doc_id, text)

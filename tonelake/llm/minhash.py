@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import connected_components, doc_key, utf8, written
+from .common import connected_components, doc_key, free_name, utf8, written
 from .words import mix, word_hashes
 
 PERMS, TREES, DEPTHS, REGION, THRESHOLD, SHINGLE, SEED = 128, 20, (3, 4, 6, 8, 12, 24, 48), 24, 0.5, 2, 7
@@ -186,6 +186,7 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the same columns: one row of each group, and all rows in no group (of equal id and text, one). Rows without words stay."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("not keep").select(F.col("key").alias("__key"))
-    rest = docs.withColumn("__key", doc_key(F.col(doc_id), F.col(text))).join(gone, "__key", "left_anti")
-    return rest.dropDuplicates(["__key"]).drop("__key")
+    own = free_name(docs, "__key")
+    gone = near_duplicates(docs, doc_id, text, **how).where("not keep").select(F.col("key").alias(own))
+    rest = docs.withColumn(own, doc_key(F.col(doc_id), F.col(text))).join(gone, own, "left_anti")
+    return rest.dropDuplicates([own]).drop(own)

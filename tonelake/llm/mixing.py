@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 FRACTION, TEMPERATURE, BLOCK, SEED = 0.5, 0.5, 10_000, 11
 _EPS = 1e-9
@@ -137,5 +137,5 @@ def written_units(rows: DataFrame) -> DataFrame:
 
 def keep_mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs with the same columns: the rows of the selected ids."""
-    chosen = mix_sources(docs, doc_id, text, source, **how).where("selected").select(F.col("doc_id").alias("__id")).hint("shuffle_hash")
-    return docs.join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    chosen = mix_sources(docs, doc_id, text, source, **how).where("selected").select(F.col("doc_id").alias(free_name(docs, "__id"))).hint("shuffle_hash")
+    return docs.join(chosen, docs[doc_id].eqNullSafe(chosen[chosen.columns[0]]), "left_semi")
