@@ -212,7 +212,7 @@ class ByteBpe:
             if len(whole) and ((data[at[at < len(whole)]] & 0xC0) == 0x80).any():  # cut between characters
                 raise UnicodeDecodeError("utf-8", b"", 0, 1, "split")
         except UnicodeDecodeError:
-            return pa.array([whole[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at[1:].tolist(), strict=True)], pa.string())
+            return pa.array([whole[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
         return pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(at), pa.py_buffer(whole)).cast(pa.string())
 
 
