@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key
+from .common import doc_key, written
 from .words import word_hashes
 
 SHARD_WORDS, PRIOR, VOCABULARY_SIZE = 1 << 20, 4.0, 1 << 20
@@ -156,7 +156,7 @@ def score(
     for i, (a, b) in enumerate(zip(stop - counts, stop, strict=True)):
         place_of[a:b] = np.arange(b - 1, a - 1, -1)
     flat = words[place_of]
-    found = corpus_counts(docs, text, flat, stop[owner], shard_words)
+    found = written(corpus_counts(docs, text, flat, stop[owner], shard_words), "counts")  # used four times; the corpus is searched once
     key = [r.key for r in local]
     # position i of a query (0 is its first word) is at place stop - 1 - i
     spots = spark.createDataFrame([(key[o], int(p), int(stop[o] - 1 - p)) for p, o in enumerate(owner.tolist())], "key long, place int, i int")
