@@ -12,7 +12,7 @@ SCORES = [
     ("qué coño es esto, no funciona una mierda", "es", -2.0), ("this is not good at all", "en", -0.75), ("this is not bad", None, 0.75), ("this has never been better", "en", 1.2), ("very bad", None, -1.3), ("un poco malo", None, -0.7),
     ("good but bad", None, -0.5), ("o resultado não está horrivel", "pt", 0.525), ("这不是坏", "zh", 0.525), ("这很坏", "zh", -0.91), ("这非常坏", "zh", -1.12), ("这很棒", "zh", 1.3), ("这非常棒", "zh", 1.6), ("esto es de puta madre", "es", 1.5),
     ("olé tus cojones", "es", 1.4), ("tu puta madre", "es", -1.0), ("THIS IS BAD!!!", None, -1.56), ("good yet bad but great", None, 1.5), ("good but bad yet great", None, 1.0), ("fucking great", None, 0.3), ("hardly good", None, -0.525),
-    ("", None, 0.0), (None, None, 0.0), ("good?", None, 0.9), ("good " * 3000, "en", 2.0),
+    ("", None, 0.0), (None, None, 0.0), ("good?", None, 0.9), ("good " * 3000, "en", 2.0), ("a" * 200_000 + " good " + "❤️" * 50_000, "en", 1.0),
 ]
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..lexicon import IDEOGRAPHS, builtin
 
-#: A run of word characters; any other character belongs to it together with a mark that follows.
-PIECE = r"(?:[\p{L}\p{M}\p{N}]|[^\p{L}\p{M}\p{N}]\p{M})+"
+#: A piece is a run of word characters; any other character belongs to it together with a mark that follows.
+#: So this is what parts them. Java's regular expressions recurse for repeated groups, and a piece may be as long as a text: there is none here.
+SEPARATOR = r"[^a-z0-9A-Z\p{L}\p{M}\p{N}](?!\p{M})"
 _CUT = "\x01"
 
 
@@ -35,10 +36,11 @@ def _folding() -> tuple[str, str, list[tuple[str, str]]]:
 def fold(c: Column) -> Column:
     """Text without case, marks and width, character by character: what lexicon.fold does for the scripts of the built-in languages."""
     plain, folded, many = _folding()
-    out = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), plain, folded)
+    low = F.lower(c)
+    out = F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), plain, folded)
     for long_, short in many:
         out = F.replace(out, F.lit(long_), F.lit(short))
-    return out
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(out)  # ASCII has only case
 
 
 def fold_expression(c: Column) -> Column:
@@ -47,12 +49,12 @@ def fold_expression(c: Column) -> Column:
 
 
 def has_ideograph(c: Column) -> Column:
-    return c.rlike(f"[{IDEOGRAPHS}]")
+    return (F.octet_length(c) > F.length(c)) & c.rlike(f"[{IDEOGRAPHS}]")
 
 
 def pieces(text: Column) -> Column:
     """Raw tokens; null text has none."""
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.array().cast("array<string>"))
+    found = F.coalesce(F.array_remove(F.split(text, SEPARATOR), ""), F.array().cast("array<string>"))
     single = F.flatten(F.transform(found, lambda p: F.when(p.rlike(f"^[{IDEOGRAPHS}]+$"), F.regexp_extract_all(p, F.lit("."), F.lit(0))).otherwise(F.array(p))))
     return F.when(has_ideograph(text), single).otherwise(found)
 

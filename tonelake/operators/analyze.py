@@ -43,7 +43,7 @@ def clamped(c: Column) -> Column:
 
 def with_tokens(df: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """df with raw and norm, two token lists of equal length."""
-    out = df.withColumn("raw", raw_tokens(F.col(text), F.col(lang) if lang else None)).withColumn("norm", folded_tokens(F.col("raw")))
+    out = df.withColumn("raw", opaque(raw_tokens(F.col(text), F.col(lang) if lang else None))).withColumn("norm", opaque(folded_tokens(F.col("raw"))))
     # tokens that fold to nothing go
     keep = lambda c: F.when(F.array_contains("norm", ""), F.filter(F.col(c), lambda x, i: F.get(F.col("norm"), i) != "")).otherwise(F.col(c))
     return out.withColumns({"raw": opaque(keep("raw")), "norm": opaque(keep("norm"))})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import folded_tokens, has_ideograph, pieces
+from ..functions.text import folded_tokens, has_ideograph, opaque, pieces
 
 LEAST_TOKENS, SAMPLE = 5, 5
 
@@ -38,23 +38,25 @@ def _known(norm: Column, words: list[str]) -> Column:
     return F.size(F.filter(norm, lambda t: t.isin(words)))
 
 
-def recognized(text: Column, norm: Column) -> Column:
+def recognized(text: Column, votes: dict[str, Column]) -> Column:
     """The language with the most function words, on ties the alphabetically first; ja, ko and zh by their scripts; null if nothing speaks for any."""
-    count = {lang: _known(norm, words.split()) for lang, words in VOTES.items()}
-    best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(sorted(count.items())))))
+    best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(sorted(votes.items())))))
     return F.when(text.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "ja").when(text.rlike(r"\p{IsHangul}"), "ko").when(has_ideograph(text), "zh").when(best["n"] > 0, best["lang"])
 
 
-def message_language(text: Column, norm: Column) -> Column:
-    """A message's language; null if it is undetermined. Ideographs decide at any length; else it takes five tokens. norm: tokens of the unsegmented text."""
-    found = recognized(text, norm)
-    return F.when(has_ideograph(text) & (F.coalesce(found, F.lit("zh")) == "zh"), "zh").when(F.size(norm) >= LEAST_TOKENS, found)
+def message_language(text: Column, found: Column, n_tokens: Column) -> Column:
+    """A message's language; null if it is undetermined. Ideographs decide at any length; else it takes five tokens (of the unsegmented text). found: what was recognized."""
+    return F.when(has_ideograph(text) & (F.coalesce(found, F.lit("zh")) == "zh"), "zh").when(n_tokens >= LEAST_TOKENS, found)
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "lang") -> DataFrame:
     """df with a language column."""
-    norm = df.withColumn("__norm", F.filter(folded_tokens(pieces(F.col(text))), lambda t: t != ""))
-    return norm.withColumn(out, message_language(F.col(text), F.col("__norm"))).drop("__norm")
+    every = sorted({w for words in VOTES.values() for w in words.split()})
+    # a column for each step: within one expression a step would be computed for every use
+    rows = df.withColumn("__raw", opaque(pieces(F.col(text)))).withColumn("__norm", opaque(F.array_remove(folded_tokens(F.col("__raw")), "")))
+    rows = rows.withColumn("__hits", opaque(F.filter("__norm", lambda t: t.isin(every))))
+    found = recognized(F.col(text), {lang: _known(F.col("__hits"), words.split()) for lang, words in VOTES.items()})
+    return rows.withColumn("__found", opaque(found)).withColumn(out, message_language(F.col(text), F.col("__found"), F.size("__norm"))).drop("__raw", "__norm", "__hits", "__found")
 
 
 def session_samples(df: DataFrame, session: str, order: str, text: str) -> DataFrame:

@@ -8,12 +8,14 @@ from collections.abc import Mapping
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD, UNKNOWN, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 LENGTH = 128
 _REMEMBERED = 200_000
+_WORDS = regex.compile(r"[\p{P}\p{S}]|[^\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+")
 
 
 class WordPiece:
@@ -34,16 +36,10 @@ class WordPiece:
 
     def words(self, text: str) -> list[str]:
         """Words of the compatibility form; white space and control characters part them, a punctuation mark or symbol is a word."""
-        out = [""]
-        for c in unicodedata.normalize("NFKC", text):
-            kind = unicodedata.category(c)
-            if kind[0] == "Z" or kind in ("Cc", "Cf"):
-                out.append("")
-            elif kind[0] in "PS":
-                out += [c, ""]
-            else:
-                out[-1] += c.lower() if self.lower else c
-        return [w for w in out if w]
+        text = unicodedata.normalize("NFKC", text)
+        if self.lower:  # each character by itself: a sigma has no final form then
+            text = text.replace("Σ", "σ").lower()
+        return _WORDS.findall(text)
 
     def split(self, word: str) -> list[int]:
         """The longest known pieces from the left; the unknown token alone if that fails anywhere."""
