@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from tonelake.llm import bpe, langid, minhash, mixing, ngram, pfor, sharding, warc
 from tonelake.llm.common import connected_components
+from tonelake.llm.queries import queries as corpus_queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(None, "no id here at all", "en", "a", 1), (1, None, "en", None, 2), (2, "", "en", "a", 3), (3, " \n\t", None, "a", 4), (4, "!!! ...", "en", "b", 5), (5, "word " * 60_000, "en", "b", 6), (6, "the same row", "en", "a", 7), (6, "the same row", "en", "a", 7), (7, "日本語 😀 👩‍👩‍👧 é <|endoftext|> don't we'll", "xx", "c", 8)]
@@ -311,6 +312,26 @@ def test_ngram_cases(spark):
         ngram.score(q, empty, most_query_bytes=1)
 
 
+@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
+def test_every_document_is_scored(spark, shard_bytes):
+    long = " ".join(texts(1, 9, words=40, size=(70, 71)))
+    corpus = texts(30, 5, words=12, size=(1, 25)) + [None, "", "?!", "a b a b a b", "a b a b a b", "b a b a", "only here only here", long, "x " + long, long + " y z", long[: len(long) // 2]]
+    docs = spark.createDataFrame([*enumerate(corpus), (0, corpus[0])], "doc_id long, text string")
+    rows = ngram.score_documents(docs, shard_bytes=shard_bytes).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(got) == len(corpus)  # a repeated row is one document
+    for i, t in enumerate(corpus):
+        n, bits, longest = brute_bits(t, corpus[:i] + corpus[i + 1 :], ngram.PRIOR, ngram.VOCABULARY_SIZE)  # its own text doesn't count
+        assert got[i].n_words == n
+        assert (got[i].bits, got[i].longest_match) == ((pytest.approx(bits), longest) if n else (None, None))
+
+
+def test_op3_scores_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = corpus_queries()["op3_ngram_scoring"](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in got.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     tokens = rng.integers(1, 3, 300).astype(np.uint64)

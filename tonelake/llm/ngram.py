@@ -12,21 +12,28 @@ The end mark follows a text's last word in the corpus, so P sums to 1 over words
 
 Cases: a query without words (null, empty, punctuation only) has n_words 0 and null scores; corpus texts without words hold nothing. Repeated rows count as often as they occur;
 query rows with equal id and text are one query. An empty corpus gives the uniform distribution. Columns besides id and text are ignored, whatever their names.
+
+``score`` sends a small set of queries to every task. ``score_documents`` scores every document of a corpus under all others, with no cap on their size; a document's
+own text doesn't count, so c(x) is the count in all other documents. There, rows with equal id and text are one document, which the corpus holds once.
+Strings of words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import gc
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_key, written
-from .words import word_hashes
+from .words import _power, mix, word_hashes
 
-SHARD_WORDS, PRIOR, VOCABULARY_SIZE = 1 << 20, 4.0, 1 << 20
+SHARD_WORDS, PRIOR, VOCABULARY_SIZE, SHARD_BYTES = 1 << 20, 4.0, 1 << 20, 4 << 20
 _MOST_QUERY_BYTES = 64 << 20
 
 
@@ -171,3 +178,196 @@ def score(
     each = orders.groupBy("key", "i").agg(p.alias("p"), (F.max("o.n") - 1).alias("context"), F.max(F.when(F.col("o.count") > 0, F.col("o.n")).otherwise(0)).alias("match"))
     scored = each.groupBy("key").agg(F.sum(-F.log2("p")).alias("bits"), F.avg("context").alias("mean_context"), F.max("match").alias("longest_match"), F.count("*").alias("n"))
     return rows.join(scored, "key", "left").select(F.col("id").alias("item_id"), "key", F.coalesce("n", F.lit(0)).alias("n_words"), "bits", (F.col("bits") / F.col("n")).alias("bits_per_word"), "longest_match", "mean_context")
+
+
+_DENSE = 4  # lengths up to here are asked one by one, longer ones doubled and then halved
+
+
+class Places:
+    """The words of a shard's documents, and what is known of the counts of the word strings that end at each place.
+
+    Of each place, longer and longer strings are asked for: 1, 2, 3, 4, 8, 16, ... words, as long as another document holds the string. Between two lengths a < b with equal
+    summed counts all counts are equal; if the counts differ, the length half way is asked. All places of a string have the same history: if one place of an a-word string
+    has another count at b, so have all. So all of them ask for the same strings in the same step, and summed counts are whole."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.avail = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+        self.r, self.inv = _power(len(words) + 1)
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(mix(words) * self.r[: len(words)], out=self.total[1:])
+        n = len(words)
+        # open ranges: place, a, count at a, b (0: not reached), count at b
+        self.place, self.a, self.b = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.at_a, self.at_b = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def state(self) -> bytes:
+        return zlib.compress(np.concatenate([self.place, self.a, self.b, self.at_a, self.at_b]).tobytes(), 1)
+
+    def resume(self, state: bytes) -> None:
+        """The open ranges as ``state`` gave them; what was known before is not."""
+        self.place, self.a, self.b, self.at_a, self.at_b = np.frombuffer(zlib.decompress(state), np.int64).reshape(5, -1)
+        self.known = []
+        self.next()
+
+    def next(self) -> None:
+        """The lengths to ask for, and their hashes; ``ask``: those that lie within the document."""
+        self.m = np.where(self.b > 0, (self.a + self.b) >> 1, np.where(self.a < _DENSE, self.a + 1, 2 * self.a))
+        self.ask = self.m <= self.avail[self.place]
+        p, m = self.place[self.ask], self.m[self.ask]
+        h = mix((self.total[p + 1] - self.total[p - m + 1]) * self.inv[p - m + 1] + m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.hash, self.of, self.local = np.unique(np.maximum(h, np.uint64(1)).view(np.int64), return_inverse=True, return_counts=True)
+
+    def answer(self, hashes: np.ndarray, totals: np.ndarray) -> None:
+        """Summed counts of the strings that other shards hold too; of others the local count is all."""
+        summed = self.local.astype(np.int64)
+        if len(hashes) and len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+            fits = self.hash[at] == hashes
+            summed[at[fits]] = totals[fits]
+        pair = self.doc[self.place[self.ask]] * max(1, len(self.hash)) + self.of
+        _, of, own = np.unique(pair, return_inverse=True, return_counts=True)
+        count, rest = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
+        count[self.ask] = summed[self.of]
+        rest[self.ask] = count[self.ask] - own[of]
+        self.known.append((self.place, self.m, rest))
+        place, a, b, at_a, at_b, m = self.place, self.a, self.b, self.at_a, self.at_b, self.m
+        up = (b == 0) & (rest > 0)
+        if (dense := up & (m < _DENSE)).any():  # the string without its last word must be shared too
+            shared = np.zeros(len(self.doc), bool)
+            shared[place[dense]] = True
+            before = shared[np.maximum(place - 1, 0)] & (self.avail[place] > 1)
+            lone = dense & ~before
+            self.known.append((place[lone], m[lone] + 1, np.zeros(int(lone.sum()), np.int64)))
+            up &= ~lone
+        lower = (m - a > 1) & (at_a != count)
+        upper = (b - m > 1) & (count != at_b) & (rest > 0)
+        self.place = np.concatenate([place[up], place[lower], place[upper]])
+        self.a = np.concatenate([m[up], a[lower], m[upper]])
+        self.at_a = np.concatenate([count[up], at_a[lower], count[upper]])
+        self.b = np.concatenate([np.zeros(int(up.sum()), np.int64), m[lower], b[upper]])
+        self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])
+        self.next()
+
+    def scores(self, counts: np.ndarray, total: int, prior: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each document: bits, longest match, summed length of contexts."""
+        n = len(self.doc)
+        place, m, rest = (np.concatenate(x) for x in zip(*self.known, strict=True))
+        some = rest > 0
+        longest = np.zeros(n, np.int64)
+        np.maximum.at(longest, place[some], m[some])
+        # a place's string of m words follows the context of m - 1 words that ends at the place before
+        after = (place + 1 < n) & some
+        after[after] = self.doc[place[after] + 1] == self.doc[place[after]]
+        at = np.concatenate([place, place[after] + 1])
+        size = np.concatenate([m, m[after] + 1])
+        word = np.concatenate([rest, np.full(int(after.sum()), -1)])
+        context = np.concatenate([np.full(len(place), -1), rest[after]])
+        by = np.lexsort((size, at))
+        at, size, word, context = at[by], size[by], word[by], context[by]
+        first = np.concatenate([[True], (at[1:] != at[:-1]) | (size[1:] != size[:-1])])
+        begin = np.flatnonzero(first)
+        word, context, at, size = np.maximum.reduceat(word, begin), np.maximum.reduceat(context, begin), at[begin], size[begin]
+        # between two known lengths the counts are those of the longer one; beyond the last they are 0
+        place_end = np.searchsorted(at, at, "right")
+        for x in (word, context):
+            i = np.where(x >= 0, np.arange(len(x)), len(x))
+            i = np.minimum.accumulate(i[::-1])[::-1]
+            x[:] = np.where(i < place_end, x[np.minimum(i, len(x) - 1)], 0)
+        own = counts[self.doc[at]] + 1
+        context[size == 1] = (total - own)[size == 1]
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        repeat = size - np.concatenate([[0], size[:-1]])
+        repeat[begin] = size[begin]
+        p, ends, live = np.full(n, 1.0 / vocabulary), np.append(begin[1:], len(at)), np.arange(len(begin))
+        step = begin.copy()
+        while len(live):
+            j = step[live]
+            use = context[j] > 0
+            k = j[use]
+            to = word[k] / context[k]
+            p[at[k]] = to + (prior / (context[k] + prior)) ** repeat[k] * (p[at[k]] - to)
+            step[live] += 1
+            live = live[step[live] < ends[live]]
+        seen = np.zeros(n, np.int64)
+        seen[1:] = np.where(self.doc[1:] == self.doc[:-1], longest[:-1], 0)
+        top = np.zeros(len(counts), np.int64)
+        np.maximum.at(top, self.doc, longest)
+        return np.bincount(self.doc, -np.log2(p), len(counts)), top, np.bincount(self.doc, seen, len(counts))
+
+
+def score_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shard_bytes: int = SHARD_BYTES, prior: float = PRIOR, vocabulary: int = VOCABULARY_SIZE,
+) -> DataFrame:
+    """(doc_id, key, n_words, bits, bits_per_word, longest_match, mean_context) for each document under all other documents.
+
+    Documents are cut by key into shards of about ``shard_bytes``. In each step the shards ask for the counts of some word strings (see ``Places``), which are summed by hash;
+    a shard is told of those that others hold too. The number of steps grows with the logarithm of the longest match.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = -(-size // shard_bytes) or 1
+    key = doc_key(F.col(doc_id), F.col(text))
+    rows = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.col(doc_id).alias("id"), key.alias("key"), F.lower(F.col(text)).alias("text"))
+    told = last = spark.createDataFrame([], "shard int, step int, hash long, count long, total long, state binary")
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+
+    def load(d: pa.Table, t: pa.Table, steps: int) -> tuple[pa.Table, np.ndarray, Places]:
+        d = d.take(pa.array(np.unique(d["key"].to_numpy(), return_index=True)[1]))
+        words, counts = word_hashes(d["text"])
+        places = Places(words, counts)
+        step, hashes, totals = (t[c].to_numpy() for c in ("step", "hash", "total"))
+        state = t["state"].drop_null() if "state" in t.column_names else []
+        if len(state):
+            places.resume(state[0].as_py())
+        else:
+            places.next()
+        for i in range(steps - 1 if len(state) else 0, steps):
+            now = (step == i) & (hashes != 0)
+            places.answer(hashes[now], totals[now])
+        return d, counts, places
+
+    steps, total = 0, 0
+    while True:
+
+        def ask(d: pa.Table, t: pa.Table, *, steps: int = steps) -> pa.Table:
+            schema = pa.schema([("shard", pa.int32()), ("mark", pa.int32()), ("hash", pa.int64()), ("count", pa.int64()), ("state", pa.binary())])
+            # a shard that is done has no mark; those that aren't say so until then
+            if not d.num_rows or (steps and not pc.any(pc.equal(t["hash"], 0)).as_py()):
+                return schema.empty_table()
+            _, counts, places = load(d, t, steps)
+            if not len(places.place):
+                return schema.empty_table()
+            shard, n = d["shard"][0].as_py(), len(places.hash)
+            # the mark has hash 0, the shard's words and ends, and once few places are left, the open ranges
+            state = places.state() if steps >= _DENSE else None
+            return pa.table([
+                pa.array(np.full(n + 1, shard, np.int32)), pa.array(np.append(np.full(n, -1, np.int32), np.int32(shard))), pa.array(np.append(places.hash, 0)),
+                pa.array(np.append(places.local, counts.sum() + (counts > 0).sum())), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([state], pa.binary())]),
+            ], schema=schema)
+
+        asked = rows.groupBy("shard").cogroup(last.groupBy("shard")).applyInArrow(ask, "shard int, mark int, hash long, count long, state binary")
+        summed = asked.withColumn("total", F.sum("count").over(Window.partitionBy("hash", "mark"))).where("total > count or hash = 0")
+        now = written(summed.select("shard", F.lit(steps).alias("step"), "hash", "count", "total", "state"), "told")
+        left, words = now.where("hash = 0").agg(F.count("*"), F.sum("count")).first()
+        total = total if steps else words or 0
+        if not left:
+            break
+        told = told.unionByName(now) if steps else now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # else the shuffle files of all steps stay on disk
+        last = now if steps >= _DENSE else told  # with the state, the last step's counts do
+        steps += 1
+
+    def finish(d: pa.Table, t: pa.Table) -> pa.Table:
+        names = ["doc_id", "key", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"]
+        d, counts, places = load(d, t, steps)
+        none = counts == 0
+        bits, longest, contexts = places.scores(counts, total, prior, vocabulary) if len(places.doc) else (np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts)))
+        each = np.maximum(counts, 1)
+        some = [pa.array(x, mask=none) for x in (bits, bits / each, longest.astype(np.int32), contexts / each)]
+        return pa.table([d["id"], d["key"], pa.array(counts), *some], names=names)
+
+    out = f"doc_id {kind}, key long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double"
+    return rows.groupBy("shard").cogroup(told.drop("state", "count").groupBy("shard")).applyInArrow(finish, out)

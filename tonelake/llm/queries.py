@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_inverted_multi_index": lambda s, d: ann.neighbours(_read(s, d, "embeddings")),
         "op2_minhash_forest": lambda s, d: minhash.near_duplicates(docs(s, d)),
-        "op3_ngram_scoring": lambda s, d: ngram.score(_read(s, d, "benchmark"), docs(s, d)),
+        "op3_ngram_scoring": lambda s, d: ngram.score_documents(docs(s, d)),
         "op4_itq_near_dedup": lambda s, d: itq.near_duplicates(_read(s, d, "embeddings")),
         "op5_byte_bpe": lambda s, d: bpe.encode(docs(s, d)),
         "op6_cube_mixing": lambda s, d: mixing.mix_sources(docs(s, d)),
