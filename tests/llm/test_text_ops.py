@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from tonelake.llm import bpe, langid, minhash, mixing, ngram, pfor, sharding, warc
 from tonelake.llm.common import connected_components
 from tonelake.llm.queries import queries as corpus_queries
+from tonelake.llm.words import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(None, "no id here at all", "en", "a", 1), (1, None, "en", None, 2), (2, "", "en", "a", 3), (3, " \n\t", None, "a", 4), (4, "!!! ...", "en", "b", 5), (5, "word " * 60_000, "en", "b", 6), (6, "the same row", "en", "a", 7), (6, "the same row", "en", "a", 7), (7, "日本語 😀 👩‍👩‍👧 é <|endoftext|> don't we'll", "xx", "c", 8)]
@@ -265,6 +266,29 @@ def test_pfor_cases(spark):
     assert pfor.tokenize_and_pack(odd(spark, rows=[])).count() == 0
 
 
+# words
+
+
+def test_words_by_unicode_class():
+    say = ["dash—“quoted” no\u00a0break", "dash quoted no break", "今天，天气", "今 天 天 气", "été ไทย", "été ไ ท ย", "a€b", "a € b", "naïve", "かな。カナ", "か な カ ナ"]
+    words, counts = word_hashes(pa.array(say))
+    each = [w.tolist() for w in np.split(words, np.cumsum(counts)[:-1])]
+    assert [len(w) for w in each] == [4, 4, 4, 4, 4, 4, 3, 3, 1, 4, 4]
+    assert each[0] == each[1] and each[2] == each[3] and each[4] == each[5] and each[6] == each[7] and each[9] == each[10]
+
+
+def test_minhash_chinese_near_copy(spark):
+    rng = random.Random(3)
+    a = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    b = a[:100] + "龍" + a[101:]
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, other)], "doc_id long, text string")
+    groups = defaultdict(set)
+    for row in minhash.near_duplicates(docs).collect():
+        groups[row.group_id].add(row.doc_id)
+    assert {1, 2} in groups.values()
+
+
 # n-gram scoring
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from .common import utf8
@@ -11,7 +13,11 @@ _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(32)
 
-#: A word is a run of ASCII letters and digits and of bytes of non-ASCII characters; ASCII case is folded.
+#: A word is a run of letters, digits and marks; ASCII case is folded. Spaces, punctuation, controls and ASCII symbols separate. Each character of a script that is
+#: written without spaces (ideographs, kana, Thai, Lao, Tibetan, Burmese, Khmer) is a word of its own, as is each non-ASCII symbol.
+_ALONE = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+_JOINERS = (0xAD, 0x200C, 0x200D)  # soft hyphen, zero-width (non-)joiner: within words
+_classes: list[np.ndarray] = []
 _WORD = np.zeros(256, bool)
 _WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _WORD[128:] = True
@@ -33,6 +39,34 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+def _class() -> np.ndarray:
+    """Of each code point: 0 separates, 1 is part of a word, 2 is a word of its own."""
+    if not _classes:
+        kind = [unicodedata.category(chr(c)) for c in range(0x110000)]
+        out = np.array([0 if k[0] in "PZ" or k in ("Cc", "Cf") else 2 if k[0] == "S" else 1 for k in kind], np.uint8)
+        for a, b in _ALONE:
+            out[a : b + 1][out[a : b + 1] == 1] = 2
+        out[list(_JOINERS)] = 1
+        _classes.append(out)
+    return _classes[0]
+
+
+def _beyond_ascii(b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sets w, whether a byte is of a word, at the bytes of non-ASCII characters; the places where a word that is one character begins or ends."""
+    cuts = []
+    for n, low, high, bits in ((2, 0xC2, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF5, 0x07)):
+        at = np.flatnonzero((b >= low) & (b < high))
+        at = at[at + n <= len(b)]
+        code = b[at].astype(np.int64) & bits
+        for k in range(1, n):
+            code = code << 6 | (b[at + k] & 0x3F)
+        kind = _class()[np.minimum(code, 0x10FFFF)]
+        for k in range(n):
+            w[at + k] = kind > 0
+        cuts += [at[kind == 2], at[kind == 2] + n]
+    return np.concatenate(cuts)
+
+
 _powers: dict[str, np.ndarray] = {}
 _BLOCK = 1 << 22
 
@@ -63,12 +97,13 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
         if not len(b):
             continue
         w = _WORD[b]
+        alone = _beyond_ascii(b, w) if b.max() > 127 else np.zeros(0, np.int64)
         edge = np.empty(len(b) + 1, bool)
         edge[0], edge[-1] = w[0], w[-1]
         np.not_equal(w[1:], w[:-1], out=edge[1:-1])
-        inner = off[1:-1]
+        inner = np.concatenate([off[1:-1], alone])
         inner = inner[(inner > 0) & (inner < len(b))]
-        joined = np.unique(inner[w[inner] & w[inner - 1]])  # one text's last word touches the next one's first
+        joined = np.unique(inner[w[inner] & w[inner - 1]])  # one text's last word touches the next one's first, or one character's its neighbour
         cuts = np.flatnonzero(edge)
         if len(joined):
             cuts = np.sort(np.concatenate([cuts, joined, joined]))
