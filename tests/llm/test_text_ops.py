@@ -491,6 +491,14 @@ def test_warc_files(spark, tmp_path):
         assert sorted((r.record_id, r.type, r.payload) for r in rows) == sorted((r.record_id, r.type, r.payload) for r in direct)
 
 
+def test_warc_payload_bytes(spark, tmp_path):
+    bodies = [b"caf\xe9 \x00", b"caf\xe8 \x00", "café".encode()]
+    record = lambda b: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(b), b)
+    (tmp_path / "a.warc").write_bytes(b"".join(map(record, bodies)))
+    (one,) = warc.assemble(warc.read_warc(spark, str(tmp_path))).collect()
+    assert sorted(bytes(r.payload_bytes) if r.payload_bytes is not None else r.payload.encode() for r in one.responses) == sorted(bodies)
+
+
 def test_warc_pages(spark):
     pages = clashing(spark.createDataFrame([(1, "http://h/p?q#f", "<p>é</p>"), (2, None, None), (None, "https://x", "")], "page_id long, url string, html string"))
     got = {r.capture_id: r for r in warc.capture_summary(warc.assemble(warc.parse_records(warc.records_of_pages(pages)))).collect()}

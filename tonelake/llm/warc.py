@@ -32,17 +32,17 @@ def _header(block: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def parse_records(records: DataFrame, raw: str = "raw") -> DataFrame:
-    """Parsed rows of a column of whole records (header block, blank line, payload), all in the JVM."""
+def parse_records(records: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed rows of a column of whole records (header block, blank line, payload), all in the JVM. keep: columns that belong to the payload and stay."""
     x = F.col(raw)
     end = F.instr(x, "\r\n\r\n")
-    rows = records.where(x.isNotNull()).select(F.when(end > 0, F.substring(x, F.lit(1), end - 1)).otherwise(x).alias("headers"), F.when(end > 0, F.substring(x, end + 4, F.length(x))).alias("payload"))
+    rows = records.where(x.isNotNull()).select(F.when(end > 0, F.substring(x, F.lit(1), end - 1)).otherwise(x).alias("headers"), F.when(end > 0, F.substring(x, end + 4, F.length(x))).alias("payload"), *keep)
     h = F.col("headers")
     named = F.transform(F.regexp_extract_all(h, F.lit(r"(?im)^WARC-Concurrent-To[ \t]*:([^\r\n]*)"), F.lit(1)), lambda v: F.trim(v))
     return rows.select(
-        F.coalesce(_header(h, "WARC-Record-ID"), F.concat(F.lit("<hash:"), F.hex(F.xxhash64("headers", "payload")), F.lit(">"))).alias("record_id"),
+        F.coalesce(_header(h, "WARC-Record-ID"), F.concat(F.lit("<hash:"), F.hex(F.xxhash64("headers", "payload", *keep)), F.lit(">"))).alias("record_id"),
         F.lower(_header(h, "WARC-Type")).alias("type"), _header(h, "WARC-Target-URI").alias("target_uri"), _header(h, "WARC-Date").alias("date"),
-        F.array_distinct(F.filter(named, lambda v: v != "")).alias("concurrent_to"), "headers", "payload",
+        F.array_distinct(F.filter(named, lambda v: v != "")).alias("concurrent_to"), "headers", "payload", *keep,
     )
 
 
@@ -65,36 +65,49 @@ def split_stream(data: bytes) -> Iterator[bytes]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed rows of WARC files; a file is read by one task, as gzip members can't be found from the middle."""
+    """Parsed rows of WARC files, and ``payload_bytes``; a file is read by one task, as gzip members can't be found from the middle.
+
+    A payload that isn't UTF-8 is whole in payload_bytes, and payload is what can be read of it as text; of other payloads, payload_bytes is null."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
+    def batch_of(block: list[tuple[str, bytes | None]]) -> pa.RecordBatch:
+        raw, whole = zip(*block, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(raw, pa.string()), pa.array(whole, pa.binary())], names=["raw", "payload_bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 block, size = [], 0
                 for record in split_stream(content.as_py()):
-                    block.append(record.decode("utf-8", "replace"))
+                    head, end, payload = record.partition(b"\r\n\r\n")
+                    try:
+                        text, whole = payload.decode(), None
+                    except UnicodeDecodeError:
+                        text, whole = payload.decode("utf-8", "replace"), payload
+                    block.append((head.decode("utf-8", "backslashreplace") + end.decode() + text, whole))
                     size += len(record)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(block, pa.string())], names=["raw"])
+                        yield batch_of(block)
                         block, size = [], 0
                 if block:
-                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.string())], names=["raw"])
+                    yield batch_of(block)
 
-    return parse_records(files.mapInArrow(run, "raw string"))
+    return parse_records(files.mapInArrow(run, "raw string, payload_bytes binary"), keep=("payload_bytes",))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """(capture_id, target_uri, date, requests, responses, metadata, others) of parsed rows; each list is of struct(record_id, headers, payload), by record_id.
+    """(capture_id, target_uri, date, requests, responses, metadata, others) of parsed rows; each list is of struct(record_id, headers, payload), by record_id,
+    with payload_bytes if the rows have it (``read_warc``).
 
     capture_id is the least record_id of the responses, or if there is none of all records; target_uri and date are that record's.
     """
     node = lambda c: F.xxhash64(c)
     edges = records.select(node("record_id").alias("a"), F.explode("concurrent_to").alias("to")).select("a", node("to").alias("b"))
     roots = connected_components(edges)
-    rows = records.select(node("record_id").alias("node"), *(F.col(c) for c in ("record_id", "type", "target_uri", "date", "headers", "payload")))
+    kept = ["payload_bytes"] if "payload_bytes" in records.columns else []
+    rows = records.select(node("record_id").alias("node"), *(F.col(c) for c in ("record_id", "type", "target_uri", "date", "headers", "payload", *kept)))
     own = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    part = F.struct("record_id", "headers", "payload")
+    part = F.struct("record_id", "headers", "payload", *kept)
     kind = F.when(F.col("type").isin("request", "metadata"), F.col("type")).when(F.col("type").isin("response", "revisit"), "response").otherwise("other")
     each = own.select("root", kind.alias("kind"), F.struct((kind != "response").alias("rank"), "record_id", "target_uri", "date").alias("head"), part.alias("part"))
     take = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("part"))))
