@@ -51,6 +51,17 @@ def test_neighbour_cases(spark):
     assert ann.neighbours(spark.createDataFrame([(1, [1.0, 2.0], 0)], SCHEMA)).count() == 0
 
 
+def test_neighbours_of_repeated_and_large_ids(spark):
+    v = lambda x: [float(x)] * 16
+    rows = spark.createDataFrame([(1, v(0)), (1, v(10)), (2, v(1)), (None, v(11)), (None, v(2.5)), (2**53, v(30)), (2**53 + 1, v(31))], "vec_id long, embedding array<float>")
+    found = ann.neighbours(rows, k=1, share=1.0).collect()
+    assert len(found) == 7  # every row is a query
+    # the two rows of id 1 and of the null id keep their own neighbour
+    assert sorted((r.vec_id if r.vec_id is not None else -1, r.neighbour_id if r.neighbour_id is not None else -1, r.distance) for r in found) == [
+        (-1, 1, 4.0), (-1, 2, 6.0), (1, -1, 4.0), (1, 2, 4.0), (2, 1, 4.0), (2**53, 2**53 + 1, 4.0), (2**53 + 1, 2**53, 4.0),
+    ]
+
+
 def groups_of(x, threshold):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= threshold

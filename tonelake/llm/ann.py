@@ -8,6 +8,7 @@ Cells are cut, in order, into shards of about ``shard_rows`` entries; a query go
 each shard reranks a block of queries at a time; the shards' best are merged. How large ``share`` must be depends on the vectors: see the README for measurements.
 
 Cases: unusable vectors (see vectors.py) are neither queries nor entries. A row is not its own neighbour; another row with the same id isn't either, one with the same vector is.
+A null id counts as an id. Rows with one id and different vectors are queries of their own, each with its own neighbours.
 Ties go to the lesser id. With k or fewer other rows a query has fewer neighbours. Repeated rows (equal id and vector) are one row. An empty table gives an empty result.
 """
 
@@ -87,7 +88,7 @@ def neighbours(
     """(vec_id, rank, neighbour_id, distance): the k nearest other rows found for every usable row, by Euclidean distance."""
     spark = rows.sparkSession
     kind = rows.schema[vec_id].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("other", kind), T.StructField("distance", T.DoubleType())])
+    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("other", kind), T.StructField("other_row", T.LongType()), T.StructField("distance", T.DoubleType())])
     table, d = vector_table(rows.dropDuplicates([vec_id, embedding]).select(vec_id, embedding), vec_id, embedding, unit=False)
     if d < 2:
         if d == 1:
@@ -131,19 +132,19 @@ def neighbours(
             packed = pa.array([r.tobytes() for r in bits], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), batch.column(0).take(take), batch.column(1).take(take), packed.take(take)], names=["shard", "id", "vec", "cells"])
 
-    block = F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int")
-    asked = table.mapInArrow(visit, T.StructType([T.StructField("shard", T.IntegerType()), *table.schema.fields, T.StructField("cells", T.BinaryType())])).withColumn("block", block)
+    row = F.xxhash64("id", "vec")
+    block = F.pmod(row, F.lit(blocks)).cast("int")
+    asked = table.mapInArrow(visit, T.StructType([T.StructField("shard", T.IntegerType()), *table.schema.fields, T.StructField("cells", T.BinaryType())])).withColumn("row", row).withColumn("block", block)
     held_in = F.element_at(F.lit(shard_of.tolist()), F.col("cell") + 1)
-    entries = coded.withColumn("shard", held_in).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    entries = coded.withColumn("shard", held_in).withColumn("row", row).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rerank(e: pa.Table, q: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", q.schema.field("id").type), ("other", q.schema.field("id").type), ("distance", pa.float64())])
+        schema = pa.schema([("row", pa.int64()), ("id", q.schema.field("id").type), ("other", q.schema.field("id").type), ("other_row", pa.int64()), ("distance", pa.float64())])
         if not e.num_rows or not q.num_rows:
             return schema.empty_table()
         y, x = matrix(e["vec"], d), matrix(q["vec"], d)
         cell = e["cell"].to_numpy()
-        e_id, q_id = e["id"].combine_chunks(), q["id"].combine_chunks()
-        _, code = np.unique(np.concatenate([e_id.to_numpy(zero_copy_only=False), q_id.to_numpy(zero_copy_only=False)]).astype(str), return_inverse=True)
+        code = pa.chunked_array([*e["id"].chunks, *q["id"].chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
         e_code, q_code = code[: len(y)], code[len(y) :]
         open_ = np.unpackbits(utf8(q["cells"])[0].reshape(len(x), -1), axis=1, count=cells).astype(bool)
         norm = (y**2).sum(1)
@@ -160,8 +161,9 @@ def neighbours(
             right.append(b)
             dist.append(np.sqrt(((x[a + i].astype(np.float64) - y[b]) ** 2).sum(1)))
         a, b, c = np.concatenate(left), np.concatenate(right), np.concatenate(dist)
-        return pa.table([q_id.take(pa.array(a)), e_id.take(pa.array(b)), pa.array(c)], schema=schema)
+        a, b = pa.array(a), pa.array(b)
+        return pa.table([q["row"].take(a), q["id"].take(a), e["id"].take(b), e["row"].take(b), pa.array(c)], schema=schema)
 
     found = entries.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(rerank, out)
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "other"))), 1, k).alias("best"))
+    best = found.groupBy("row", "id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "other", "other_row"))), 1, k).alias("best"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("best").alias("rank", "n")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("n.other").alias("neighbour_id"), F.col("n.distance").alias("distance"))
