@@ -371,6 +371,55 @@ def test_suffix_array():
     assert [suffix(p) for p in order.tolist()] == sorted(suffix(p) for p in range(300))
 
 
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    for n in (1024, 2048, 4096):
+        h, counts = word_hashes(pa.array([*thue_morse(n), "x" + thue_morse(n)[0]]))
+        assert counts.tolist() == [1, 1, 1] and len(set(h.tolist())) == 3
+    h, _ = word_hashes(pa.array(["abcdefgh abcdefgha abcdefghA a b aa abcdefgh"]))
+    assert h[0] == h[6] and h[1] == h[2] and len(set(h.tolist())) == 5
+
+
+def test_pre_tokens_that_polynomial_hashes_confuse():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    own, library = bpe.ByteBpe(bpe.VOCABULARY), Tokenizer.from_file(bpe.VOCABULARY)
+    say = [*thue_morse(2048), " ".join(thue_morse(4096)), *("".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    for part in (say, say[::-1]):  # in one batch, and beside what the first batch left
+        ids, starts, ends, n = own.encode(pa.array(part))
+        assert own.decode(ids, n).to_pylist() == part
+        at = np.cumsum(n) - n
+        for i, x in enumerate(part):
+            want = library.encode(x)
+            assert ids[at[i] : at[i] + n[i]].tolist() == want.ids
+            assert list(zip(starts[at[i] : at[i] + n[i]].tolist(), ends[at[i] : at[i] + n[i]].tolist(), strict=True)) == want.offsets
+
+
+def test_colliding_hashes_give_right_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "slice_hashes", lambda eight, start, end: np.zeros(len(start), np.uint64))
+    own = bpe.ByteBpe(bpe.VOCABULARY)
+    say = ["one two", "two one", "", "three"]
+    ids, _, _, n = own.encode(pa.array(say))
+    assert own.decode(ids, n).to_pylist() == say
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    import json
+
+    file = json.loads(open(bpe.VOCABULARY).read())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}):
+        (tmp_path / "v.json").write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            bpe.ByteBpe(str(tmp_path / "v.json"))
+
+
 # mixing
 
 

@@ -2,20 +2,20 @@
 
 A batch is cut into pre-tokens with the rules of the byte-level pre-tokenizer (checked against the library by tests; what kind of character
 a code point is, is asked of the library itself). Merges never cross pre-tokens, so each distinct pre-token goes through the
-library once in a worker, and the ids are then laid out in text order; what a worker remembers is bounded. Offsets come from the byte table: a token's bytes are counted off against the
+library once in a worker, and the ids are then laid out in text order; what a worker remembers is bounded, and is found by the pre-token's bytes. Offsets come from the byte table: a token's bytes are counted off against the
 text's bytes, and bytes are mapped to characters; a token that holds only part of a character gets that character's whole span.
 Decoding looks up each id's bytes, concatenates, and reads UTF-8: characters that are split over tokens come together again.
 
 Cases: null text gives null lists; empty text gives empty lists. Special tokens in a text are ordinary text. Rows keep their order and number, so
-repeated rows are encoded alike. Decoding ids that are not UTF-8 gives U+FFFD for what is malformed; an id outside the vocabulary, or null
-inside a list, is an error. Columns besides id and text are ignored, whatever their names.
+repeated rows are encoded alike. An empty table gives an empty result. A text goes through whole, however long it is: a batch comes back in parts of whole texts. Decoding ids that are not UTF-8 gives U+FFFD for what is malformed; an id outside the vocabulary, or null
+inside a list, is an error, and so is a vocabulary file with another pre-tokenizer, normalizer or kind of model. Columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lists, utf8
-from .words import mix
+from .words import loads, same_slices, slice_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 L, N, O, S, NONE = range(5)  # letter, number, other, white space; not asked yet
 _BYTES, _MOST, _PART = 1 << 18, 600_000, 1 << 20
-_R = np.uint64(0xD1342543DE82EF95)
-_RINV = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
 
 def byte_table() -> dict[str, int]:
@@ -42,11 +40,22 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(file: dict, path: str) -> None:
+    """Other settings than those that ``cuts`` and ``_remember`` follow would silently give other ids."""
+    pre, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError(f"{path}: the pre-tokenizer must be ByteLevel with its regular expression and without prefix space; it is {pre}")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE" or odd or file.get("normalizer"):
+        raise ValueError(f"{path}: the model must be plain byte-level BPE without a normalizer; it has {odd or [model.get('type'), file.get('normalizer')]}")
+
+
 class ByteBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        _check(json.loads(self.tok.to_str()), path)
         self.tok.encode_special_tokens = True
         table, vocab = byte_table(), self.tok.get_vocab(with_added_tokens=True)
         added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
@@ -61,22 +70,14 @@ class ByteBpe:
         inverse = {b: c for c, b in table.items()}
         self.stand_in = {b: inverse[b] for b in range(256)}
         self._clear()
-        self.power = self.inverse = np.ones(1, np.uint64)
 
     def _clear(self) -> None:
-        """Forgets all pre-tokens. known: hash -> place in first (of its ids in flat) and many."""
-        self.known: dict[int, int] = {}
+        """Forgets all pre-tokens. known: bytes -> place in first (of its ids in flat) and many."""
+        self.known: dict[bytes, int] = {}
         self.first, self.many, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            for name, base in (("power", _R), ("inverse", _RINV)):
-                p = np.full(max(n, _BYTES + 1), base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-
-    def _remember(self, hashes: list[int], strings: list[bytes]) -> None:
+    def _remember(self, strings: list[bytes]) -> None:
         stand_in, call = self.stand_in, self.tok.model.tokenize
         own = [[t.id for t in call("".join([stand_in[b] for b in x]))] for x in strings]
         n, at = len(self.known), self.used
@@ -90,7 +91,7 @@ class ByteBpe:
         self.first[n : n + len(own)] = at + np.cumsum(sizes) - sizes
         self.many[n : n + len(own)] = sizes
         self.used = at + len(ids)
-        self.known.update(zip(hashes, range(n, n + len(own)), strict=True))
+        self.known.update(zip(strings, range(n, n + len(own)), strict=True))
 
     def _learn(self, points: np.ndarray) -> None:
         """Asks the library which kind each new code point is: it joins with one of its kind."""
@@ -165,20 +166,16 @@ class ByteBpe:
         cut = self.cuts(points, text_at)
         first = cut if chars[-1] == len(raw) else np.flatnonzero(lead)[cut]  # in bytes
         stop = np.append(first[1:], len(raw))
-        self._powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * self.power[: len(raw)], out=total[1:])
-        h = mix((total[stop] - total[first]) * self.inverse[first] + (stop - first).astype(np.uint64))
+        eight = loads(raw)
+        _, pick, inverse = np.unique(slice_hashes(eight, first, stop), return_index=True, return_inverse=True)
+        if not same_slices(eight, first, stop, first[pick][inverse], stop[pick][inverse]):  # a collision of hashes: every pre-token by itself
+            pick = inverse = np.arange(len(first))
         if len(self.known) > _MOST:
             self._clear()
-        own, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
-        each = own.tolist()
-        which = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
-        new = np.flatnonzero(which < 0)
-        if len(new):
-            which[new] = len(self.known) + np.arange(len(new))
-            pick = pick[new]
-            self._remember(own[new].tolist(), [data[x:y] for x, y in zip(first[pick].tolist(), stop[pick].tolist(), strict=True)])
+        each = [data[x:y] for x, y in zip(first[pick].tolist(), stop[pick].tolist(), strict=True)]
+        if unknown := list(dict.fromkeys(x for x in each if x not in self.known)):
+            self._remember(unknown)
+        which = np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))
         which = which[inverse]
         n = self.many[which]
         end = np.zeros(len(n) + 1, np.int64)

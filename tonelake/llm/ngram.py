@@ -31,7 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_key, written
-from .words import _power, mix, word_hashes
+from .words import mix, word_hashes
+
+_R, _RINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    r, inv = np.full(n, _R, np.uint64), np.full(n, _RINV, np.uint64)
+    r[0] = inv[0] = 1
+    return np.multiply.accumulate(r), np.multiply.accumulate(inv)
 
 SHARD_WORDS, PRIOR, VOCABULARY_SIZE, SHARD_BYTES = 1 << 20, 4.0, 1 << 20, 4 << 20
 _MOST_QUERY_BYTES = 64 << 20

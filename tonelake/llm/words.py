@@ -9,7 +9,6 @@ import numpy as np
 from .common import utf8
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(32)
 
@@ -21,8 +20,8 @@ _classes: list[np.ndarray] = []
 _WORD = np.zeros(256, bool)
 _WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _WORD[128:] = True
-_FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_FOLD[65:91] += np.uint64(32)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += np.uint8(32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,18 +66,44 @@ def _beyond_ascii(b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate(cuts)
 
 
-_powers: dict[str, np.ndarray] = {}
 _BLOCK = 1 << 22
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "r" not in _powers or len(_powers["r"]) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("r", _R), ("i", _RINV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["r"], _powers["i"]
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the low k bytes of a load
+
+
+def loads(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as numbers; past the end they are 0."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", buffer=padded, strides=(1,))
+
+
+def slice_hashes(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte slices start:end of the bytes that ``loads`` was given. Eight bytes at a time are mixed into what came before, so no
+    sum over places is involved: slices that any polynomial hash confuses (Thue-Morse words and their complements) differ."""
+    size = end - start
+    h = mix((eight[start] & _LOW[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _R))
+    k, more = 8, np.flatnonzero(size > 8)
+    while len(more):
+        left = size[more] - k
+        h[more] = mix(mix(eight[start[more] + k] & _LOW[np.minimum(left, 8)]) + h[more] * _R)
+        k += 8
+        more = more[left > 8]
+    return h
+
+
+def same_slices(eight: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> bool:
+    """Whether all slices start:end have the bytes of their slices other:other_end."""
+    size = end - start
+    if not np.array_equal(size, other_end - other):
+        return False
+    k, more = 0, np.flatnonzero((start != other) & (size > 0))
+    while len(more):
+        low = _LOW[np.minimum(size[more] - k, 8)]
+        if ((eight[start[more] + k] ^ eight[other[more] + k]) & low).any():
+            return False
+        k += 8
+        more = more[size[more] > k]
+    return True
 
 
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +135,6 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
         start, end = cuts[0::2], cuts[1::2]
         if not len(start):
             continue
-        r, inv = _power(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_FOLD[b] * r[: len(b)], out=total[1:])
-        out.append(mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64)))
+        out.append(slice_hashes(loads(_FOLD[b]), start, end))
         counts[i0:j] = np.diff(np.searchsorted(start, off))
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
