@@ -300,18 +300,17 @@ def brute_bits(query, corpus, prior, vocabulary):
     docs = [[*words_of(t), "\0"] for t in corpus if words_of(t)]
     count = Counter(tuple(d[i:j]) for d in docs for i in range(len(d)) for j in range(i + 1, len(d) + 1))
     total, q, bits, longest = sum(map(len, docs)), words_of(query), 0.0, 0
+    contexts = 0
     for i in range(len(q)):
-        p = 1 / vocabulary
-        for n in range(i + 1):
+        p = (count[(q[i],)] + prior / vocabulary) / (total + prior)
+        n = next(n for n in range(i, -1, -1) if not n or count[tuple(q[i - n : i])])  # the longest context that is there
+        if n:
             h = tuple(q[i - n : i])
-            c = total if not n else count[h]
-            if not c:
-                break
-            p = (count[(*h, q[i])] + prior * p) / (c + prior)
-            if count[(*h, q[i])]:
-                longest = max(longest, n + 1)
+            p = (count[(*h, q[i])] + prior * p) / (count[h] + prior)
+        contexts += n
+        longest = max(longest, next(n for n in range(i + 1, -1, -1) if not n or count[tuple(q[i + 1 - n : i + 1])]))
         bits -= math.log2(p)
-    return len(q), bits if q else None, longest if q else None
+    return (len(q), bits, longest, contexts / len(q)) if q else (0, None, None, None)
 
 
 @pytest.mark.parametrize("shard_words", [1, 50, 1 << 20])
@@ -322,8 +321,8 @@ def test_ngram_against_brute_force(spark, shard_words):
     got = {r.item_id: r for r in ngram.score(spark.createDataFrame(list(enumerate(queries)), "item_id long, text string"), docs, shard_words=shard_words).collect()}
     assert len(got) == len(queries)
     for i, q in enumerate(queries):
-        n, bits, longest = brute_bits(q, corpus, ngram.PRIOR, ngram.VOCABULARY_SIZE)
-        assert (got[i].n_words, got[i].longest_match) == (n, longest)
+        n, bits, longest, mean = brute_bits(q, corpus, ngram.PRIOR, ngram.VOCABULARY_SIZE)
+        assert (got[i].n_words, got[i].longest_match, got[i].mean_context) == (n, longest, None if mean is None else pytest.approx(mean))
         assert got[i].bits == (None if bits is None else pytest.approx(bits, rel=1e-9))
 
 
@@ -336,18 +335,28 @@ def test_ngram_cases(spark):
         ngram.score(q, empty, most_query_bytes=1)
 
 
-@pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
-def test_every_document_is_scored(spark, shard_bytes):
+@pytest.mark.parametrize(("block_words", "range_asks"), [(40, 100), (1 << 21, 1 << 22), (300, 1 << 22)])
+def test_every_document_is_scored(spark, block_words, range_asks):
+    rng = random.Random(2)
     long = " ".join(texts(1, 9, words=40, size=(70, 71)))
-    corpus = texts(30, 5, words=12, size=(1, 25)) + [None, "", "?!", "a b a b a b", "a b a b a b", "b a b a", "only here only here", long, "x " + long, long + " y z", long[: len(long) // 2]]
-    docs = spark.createDataFrame([*enumerate(corpus), (0, corpus[0])], "doc_id long, text string")
-    rows = ngram.score_documents(docs, shard_bytes=shard_bytes).collect()
+    near = [" ".join(w if rng.random() > 0.06 else "zz" for w in long.split()) for _ in range(9)]  # counts change at many lengths
+    corpus = texts(30, 5, words=12, size=(1, 25)) + [None, "", "?!", "a b a b a b", "a b a b a b", "A B a b A b", "b a b a", "only here only here", long, "x " + long, long + " y z", long[: len(long) // 2], *near]
+    docs = clashing(spark.createDataFrame([*enumerate(corpus), (0, corpus[0])], "doc_id long, text string").repartition(3))
+    rows = ngram.score_documents(docs, block_words=block_words, range_asks=range_asks).collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(got) == len(corpus)  # a repeated row is one document
     for i, t in enumerate(corpus):
-        n, bits, longest = brute_bits(t, corpus[:i] + corpus[i + 1 :], ngram.PRIOR, ngram.VOCABULARY_SIZE)  # its own text doesn't count
+        n, bits, longest, mean = brute_bits(t, corpus[:i] + corpus[i + 1 :], ngram.PRIOR, ngram.VOCABULARY_SIZE)  # its own text doesn't count, its copies do
         assert got[i].n_words == n
-        assert (got[i].bits, got[i].longest_match) == ((pytest.approx(bits), longest) if n else (None, None))
+        assert (got[i].bits, got[i].longest_match, got[i].mean_context) == ((pytest.approx(bits), longest, pytest.approx(mean)) if n else (None, None, None))
+
+
+def test_scored_documents_odd_rows(spark):
+    assert ngram.score_documents(odd(spark).limit(0)).count() == 0
+    got = {(r.doc_id, r.n_words) for r in ngram.score_documents(clashing(odd(spark))).collect()}
+    assert got >= {(None, 5), (1, 0), (2, 0), (3, 0), (4, 0), (5, 60_000), (6, 3)} and len(got) == 8
+    alone = ngram.score_documents(odd(spark, rows=[(1, "by itself", "en", "a", 1)])).collect()[0]
+    assert alone.bits == pytest.approx(40) and alone.longest_match == 0  # uniform: nothing is known
 
 
 def test_op3_scores_documents(spark):

@@ -1,48 +1,46 @@
-"""Unbounded n-gram language model scoring over sharded suffix arrays of the corpus.
-
-The corpus is all words of all texts (see words.py), with an end mark after each. Every task cuts its texts into shards of at most ``shard_words`` words
-(a longer text is a shard of its own), reverses them, and sorts each shard's suffixes: a suffix array in which all places that end with the same words are
-neighbours. For each position of a query, the search narrows the range of suffixes that match its last 1, 2, 3, ... words, by binary search, until the range is empty:
-the length of the longest match isn't bounded. The counts of every matched length are summed over all shards.
-
-With c(x) the summed count of a word string x, a position's word w after the context h of n words costs -log2 P(w | h), where n goes up to the longest
-context that the corpus holds anywhere, and P is smoothed with a Dirichlet prior towards the next shorter context:
-P_n = (c(h w) + prior * P_(n-1)) / (c(h) + prior); P_(-1) is uniform over ``vocabulary`` words.
-The end mark follows a text's last word in the corpus, so P sums to 1 over words and the end. Only the counts travel: they grow with the corpus, the model does not exist as a whole.
-
-Cases: a query without words (null, empty, punctuation only) has n_words 0 and null scores; corpus texts without words hold nothing. Repeated rows count as often as they occur;
-query rows with equal id and text are one query. An empty corpus gives the uniform distribution. Columns besides id and text are ignored, whatever their names.
-
-``score`` sends a small set of queries to every task. ``score_documents`` scores every document of a corpus under all others, with no cap on their size; a document's
-own text doesn't count, so c(x) is the count in all other documents. There, rows with equal id and text are one document, which the corpus holds once.
-Strings of words are compared by 64-bit hashes.
+"""Unbounded n-gram language model scoring: longest matching contexts, summed counts, smoothed continuations.
+
+The model is the corpus: all words of all texts (see words.py), with an end mark after each. For each position of a query text, the context is the longest string of words
+before it, of any length, that the corpus holds. With c(x) the count of a word string x, the position's word w after its context h costs -log2 P(w | h) with
+P(w | h) = (c(h w) + prior * P0(w)) / (c(h) + prior),  P0(w) = (c(w) + prior / vocabulary) / (words and ends in all + prior);
+without any context it costs -log2 P0(w). The end mark follows a text's last word, so P(. | h) sums to 1 over words and the end where P0 does.
+A position needs two places only: with L(j) the length of the longest string that ends with word j and that the corpus holds, and C(j) its count, the context of position i
+has L(i-1) words and the count C(i-1), and c(h w) is C(i) if L(i) = L(i-1) + 1, else 0.
+
+``score``: for a small set of queries. Every task cuts its texts into shards of at most ``shard_words`` words (a longer text is a shard of its own), reverses them, and sorts
+each shard's suffixes: a suffix array in which all places that end with the same words are neighbours. Binary search narrows the suffixes that match a position's last
+1, 2, 3, ... words. A first pass gives the longest match over all shards, a second one sums the counts of just those strings. The queries go to every task.
+
+``score_documents``: every document of a corpus under all others; sending all documents to all suffix arrays would grow with the square of the corpus. Here a block of documents asks
+for the counts of word strings by hash, in sorted lists, and the lists are merged by range of hash: lengths 1, 2 and 3 at once, then, for the places that are still
+matched elsewhere, doubled lengths, and half way between two lengths whose counts differ (see ``Deep``). So the work grows with the corpus, and the number of steps with the logarithm of the longest match.
+A document's own text doesn't count; its exact copies do. Documents with equal text (case folded) are scored once, weighted by their number. Strings of words are compared by
+64-bit hashes that are mixed level by level, texts by 128 bits.
+
+Cases: a query without words (null, empty, punctuation only) has n_words 0 and null scores; corpus texts without words hold nothing. Rows with equal id and text are one
+document (one query), which ``score_documents`` counts once; in ``score`` repeated corpus rows count as often as they occur. Ties cannot arise. Null ids are ids. An empty corpus gives P0; an empty table no rows.
+Texts are scored whole, however long. Columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gc
-import zlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import doc_key, written
+from .common import doc_key, drop_written, lists, path_of, written
 from .words import mix, word_hashes
 
-_R, _RINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r, inv = np.full(n, _R, np.uint64), np.full(n, _RINV, np.uint64)
-    r[0] = inv[0] = 1
-    return np.multiply.accumulate(r), np.multiply.accumulate(inv)
-
-SHARD_WORDS, PRIOR, VOCABULARY_SIZE, SHARD_BYTES = 1 << 20, 4.0, 1 << 20, 4 << 20
+SHARD_WORDS, PRIOR, VOCABULARY_SIZE, BLOCK_WORDS, RANGE_ASKS = 1 << 20, 4.0, 1 << 20, 1 << 21, 3 << 20
 _MOST_QUERY_BYTES = 64 << 20
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def suffix_array(tokens: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -76,7 +74,6 @@ def suffix_array(tokens: np.ndarray, stop: np.ndarray) -> np.ndarray:
         step *= 2
     return order
 
-
 def matches(tokens: np.ndarray, order: np.ndarray, queries: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For n = 1, 2, ...: the query places p at which queries[p : p + n] occurs among the sorted places, and how often. end[p]: where p's query ends."""
     place = np.arange(len(queries))
@@ -105,14 +102,25 @@ def matches(tokens: np.ndarray, order: np.ndarray, queries: np.ndarray, end: np.
         more = place + n < end[place]
         place, lo, hi = place[more], lo[more], hi[more]
 
+def unigram(count: np.ndarray, total: np.ndarray, prior: float, vocabulary: int) -> np.ndarray:
+    return (count + prior / vocabulary) / (total + prior)
+
+
+def cost(length: np.ndarray, count: np.ndarray, before: np.ndarray, context: np.ndarray, p0: np.ndarray, prior: float) -> np.ndarray:
+    """Bits of positions: length and count of the longest string that ends with the word, and of the one that ends before it (0 words: no context)."""
+    hit = np.where(length == before + 1, count, 0)
+    return -np.log2(np.where(before > 0, (hit + prior * p0) / (context + prior), p0))
 
-def corpus_counts(docs: DataFrame, text: str, query: np.ndarray, ends: np.ndarray, shard_words: int) -> DataFrame:
-    """(place, n, count): summed counts of the n tokens from place on in the reversed queries; place -1: words and ends of the corpus in all."""
-    shared = docs.sparkSession.sparkContext.broadcast((query, ends))  # checked by the caller
+
+def corpus_matches(docs: DataFrame, text: str, query: np.ndarray, ends: np.ndarray, shard_words: int, want: np.ndarray | None = None) -> DataFrame:
+    """Without want: (place, n, 0), the longest match of each place of the reversed queries. With it: (place, n, count) for n = 1 and n = want[place], summed over all shards;
+    place -1: words and ends of the corpus in all."""
+    shared = docs.sparkSession.sparkContext.broadcast((query, ends, want))  # checked by the caller
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, e = shared.value
-        sums: dict[int, np.ndarray] = {}
+        q, e, wanted = shared.value
+        longest = np.zeros(len(q), np.int32)
+        sums = np.zeros((2, len(q)), np.int64)
         total = 0
 
         def search(words: list[np.ndarray]) -> None:
@@ -123,8 +131,13 @@ def corpus_counts(docs: DataFrame, text: str, query: np.ndarray, ends: np.ndarra
             order = suffix_array(flat, stop)[len(stop) :]  # without the end marks
             # end marks hold the least value and stand first, so binary search by value stays right
             for n, place, count in matches(flat, order, q, e):
-                own = sums.setdefault(n, np.zeros(len(q), np.int64))
-                own[place] += count
+                if wanted is None:
+                    longest[place] = np.maximum(longest[place], n)
+                else:
+                    if n == 1:
+                        sums[0, place] += count
+                    own = wanted[place] == n
+                    sums[1, place[own]] += count[own]
 
         waiting, size = [], 0
         for batch in batches:
@@ -140,12 +153,14 @@ def corpus_counts(docs: DataFrame, text: str, query: np.ndarray, ends: np.ndarra
                 at += c
         if waiting:
             search(waiting)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names=["place", "n", "count"])
-        for n, own in sums.items():
+        names = ["place", "n", "count"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names=names)
+        for own, n in ((longest, longest),) if wanted is None else ((sums[0], np.ones(len(q), np.int32)), (np.where(wanted > 1, sums[1], 0), wanted)):
             place = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.full(len(place), n, np.int32)), pa.array(own[place])], names=["place", "n", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n[place].astype(np.int32)), pa.array(own[place].astype(np.int64))], names=names)
 
-    return docs.select(F.lower(F.col(text)).alias("text")).mapInArrow(run, "place int, n int, count long").groupBy("place", "n").agg(F.sum("count").alias("count"))
+    each = docs.select(F.lower(F.col(text)).alias("text")).mapInArrow(run, "place int, n int, count long")
+    return each.groupBy("place").agg(F.max("n").alias("n"), F.sum("count").alias("count")) if want is None else each.groupBy("place", "n").agg(F.sum("count").alias("count"))
 
 
 def score(
@@ -154,228 +169,397 @@ def score(
 ) -> DataFrame:
     """(id, key, n_words, bits, bits_per_word, longest_match, mean_context) for each query of ``queries`` under the corpus ``docs``.
 
-    The query words are sent to every task: at most ``most_query_bytes`` of them, more is an error (score in parts then). The corpus is read once.
+    The query words are sent to every task, and two numbers a word come back: at most ``most_query_bytes`` of them, more is an error (``score_documents`` has no such limit).
     """
     spark = docs.sparkSession
     rows = queries.select(F.col(query_id).alias("id"), doc_key(F.col(query_id), F.col(query_text)).alias("key"), F.lower(F.col(query_text)).alias("text")).dropDuplicates(["key"])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size * 4 > most_query_bytes:
         raise ValueError(f"the queries take about {size * 4} bytes in every task; most_query_bytes is {most_query_bytes}")
-    local = sorted(rows.collect(), key=lambda r: r.key)
-    words, counts = word_hashes(pa.array([r.text for r in local], pa.string()))
+    local = rows.select("key", "text").toArrow().sort_by("key")
+    words, counts = word_hashes(local["text"])
     words = np.maximum(words, np.uint64(1))
     stop = np.cumsum(counts)
     # reversed within each query: position i's last words are a prefix from its place on
-    owner = np.repeat(np.arange(len(local)), counts)
-    place_of = np.zeros(len(words), np.int64)
-    for i, (a, b) in enumerate(zip(stop - counts, stop, strict=True)):
-        place_of[a:b] = np.arange(b - 1, a - 1, -1)
-    flat = words[place_of]
-    found = written(corpus_counts(docs, text, flat, stop[owner], shard_words), "counts")  # used four times; the corpus is searched once
-    key = [r.key for r in local]
-    # position i of a query (0 is its first word) is at place stop - 1 - i
-    spots = spark.createDataFrame([(key[o], int(p), int(stop[o] - 1 - p)) for p, o in enumerate(owner.tolist())], "key long, place int, i int")
-    total = found.where("place = -1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"))  # a row also for an empty corpus
-    seen = found.where("place >= 0").join(F.broadcast(spots), "place").select("key", "i", "n", "count")  # no larger than the queries
-    # c(h w) at (i, n + 1) over c(h) at (i - 1, n)
-    context = seen.select("key", (F.col("i") + 1).alias("i"), (F.col("n") + 1).alias("n"), F.col("count").alias("context"))
-    both = context.join(seen, ["key", "i", "n"], "left").join(F.broadcast(spots.select("key", "i")), ["key", "i"], "left_semi")
-    first = spots.select("key", "i", F.lit(1).alias("n")).crossJoin(F.broadcast(total)).join(seen.where("n = 1"), ["key", "i", "n"], "left").select("key", "i", "n", F.col("all").alias("context"), "count")
-    orders = both.select("key", "i", "n", "context", "count").unionByName(first).select("key", "i", F.struct("n", "context", F.coalesce("count", F.lit(0)).alias("count")).alias("o"))
-    p = F.aggregate(F.array_sort(F.collect_list("o")), F.lit(1.0 / vocabulary), lambda acc, o: (o["count"] + prior * acc) / (o["context"] + prior))
-    each = orders.groupBy("key", "i").agg(p.alias("p"), (F.max("o.n") - 1).alias("context"), F.max(F.when(F.col("o.count") > 0, F.col("o.n")).otherwise(0)).alias("match"))
-    scored = each.groupBy("key").agg(F.sum(-F.log2("p")).alias("bits"), F.avg("context").alias("mean_context"), F.max("match").alias("longest_match"), F.count("*").alias("n"))
-    return rows.join(scored, "key", "left").select(F.col("id").alias("item_id"), "key", F.coalesce("n", F.lit(0)).alias("n_words"), "bits", (F.col("bits") / F.col("n")).alias("bits_per_word"), "longest_match", "mean_context")
-
-
-_DENSE = 4  # lengths up to here are asked one by one, longer ones doubled and then halved
-
-
-class Places:
-    """The words of a shard's documents, and what is known of the counts of the word strings that end at each place.
-
-    Of each place, longer and longer strings are asked for: 1, 2, 3, 4, 8, 16, ... words, as long as another document holds the string. Between two lengths a < b with equal
-    summed counts all counts are equal; if the counts differ, the length half way is asked. All places of a string have the same history: if one place of an a-word string
-    has another count at b, so have all. So all of them ask for the same strings in the same step, and summed counts are whole."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.avail = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-        self.r, self.inv = _power(len(words) + 1)
-        self.total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(mix(words) * self.r[: len(words)], out=self.total[1:])
-        n = len(words)
-        # open ranges: place, a, count at a, b (0: not reached), count at b
-        self.place, self.a, self.b = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.at_a, self.at_b = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def state(self) -> bytes:
-        return zlib.compress(np.concatenate([self.place, self.a, self.b, self.at_a, self.at_b]).tobytes(), 1)
-
-    def resume(self, state: bytes) -> None:
-        """The open ranges as ``state`` gave them; what was known before is not."""
-        self.place, self.a, self.b, self.at_a, self.at_b = np.frombuffer(zlib.decompress(state), np.int64).reshape(5, -1)
-        self.known = []
-        self.next()
-
-    def next(self) -> None:
-        """The lengths to ask for, and their hashes; ``ask``: those that lie within the document."""
-        self.m = np.where(self.b > 0, (self.a + self.b) >> 1, np.where(self.a < _DENSE, self.a + 1, 2 * self.a))
-        self.ask = self.m <= self.avail[self.place]
-        p, m = self.place[self.ask], self.m[self.ask]
-        h = mix((self.total[p + 1] - self.total[p - m + 1]) * self.inv[p - m + 1] + m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.hash, self.of, self.local = np.unique(np.maximum(h, np.uint64(1)).view(np.int64), return_inverse=True, return_counts=True)
-
-    def answer(self, hashes: np.ndarray, totals: np.ndarray) -> None:
-        """Summed counts of the strings that other shards hold too; of others the local count is all."""
-        summed = self.local.astype(np.int64)
-        if len(hashes) and len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-            fits = self.hash[at] == hashes
-            summed[at[fits]] = totals[fits]
-        pair = self.doc[self.place[self.ask]] * max(1, len(self.hash)) + self.of
-        _, of, own = np.unique(pair, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    place_of = (stop - counts)[owner] + stop[owner] - 1 - np.arange(len(words))
+    flat, ends = words[place_of], stop[owner]
+    longest, count, single = (np.zeros(len(words), np.int64) for _ in range(3))
+    found = corpus_matches(docs, text, flat, ends, shard_words).toArrow()  # a row for each place of the queries at most
+    at, n, c = (found[x].to_numpy() for x in ("place", "n", "count"))
+    total = int(c[at < 0].sum())
+    longest[at[at >= 0]] = n[at >= 0]
+    if longest.any():
+        found = corpus_matches(docs, text, flat, ends, shard_words, longest).toArrow()  # two rows a place
+        at, n, c = (found[x].to_numpy() for x in ("place", "n", "count"))
+        one, own = (at >= 0) & (n == 1), (at >= 0) & (n == longest[at])
+        single[at[one]], count[at[own]] = c[one], c[own]
+    longest, count, single = longest[place_of], count[place_of], single[place_of]  # in order of the text
+    first = np.zeros(len(words), bool)
+    first[(stop - counts)[counts > 0]] = True
+    before, context = (np.where(first, 0, np.concatenate([[0], x[:-1]])) if len(x) else x for x in (longest, count))
+    bits = np.bincount(owner, cost(longest, count, before, context, unigram(single, total, prior, vocabulary), prior), len(counts))
+    top = np.zeros(len(counts), np.int64)
+    np.maximum.at(top, owner, longest)
+    none = counts == 0
+    mean = np.bincount(owner, before, len(counts)) / np.maximum(counts, 1)
+    cells = [pa.array(x, mask=none) for x in (bits, bits / np.maximum(counts, 1), top.astype(np.int32), mean)]
+    scored = spark.createDataFrame(pa.table([local["key"], pa.array(counts), *cells], names=["key", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"]))
+    return rows.join(scored, "key").select(F.col("id").alias("item_id"), "key", "n_words", "bits", "bits_per_word", "longest_match", "mean_context")
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, the first bytes of all values before their second ones, and so on."""
+    out = []
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.zeros(0, np.uint8)
+        out.append((name, a.dtype.str, len(a), pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""))
+    return pickle.dumps(out)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for name, kind, n, cell in pickle.loads(data):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(pa.decompress(cell, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n) if n else np.zeros((size, 0), np.uint8)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    return out
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes where they fit."""
+    return a.astype(np.int32) if not len(a) or max(a.max(), -a.min()) < 2**31 else a
+
+
+def by_hash(h: np.ndarray) -> np.ndarray:
+    """The stable order of hashes. Their places are packed into the low bits for the sort; where the high bits tie by chance it is sorted otherwise."""
+    low = np.uint64((1 << max(1, (len(h) - 1).bit_length())) - 1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    sorted_ = h[order]
+    return np.argsort(h, kind="stable") if (sorted_[1:] < sorted_[:-1]).any() else order
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for c in columns[1:]:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class Asks:
+    """Word strings of a block by hash: the distinct ones in order with their weighted counts in the block, and for each place its string and how often its own document has it.
+
+    h: hashes of the strings that end at places of documents doc (ascending); weight: of each document."""
+
+    def __init__(self, h: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        n = len(h)
+        self.of, self.own = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.hash, self.local = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not n:
+            return
+        order = by_hash(h)
+        h, doc = h[order], doc[order]
+        new = changes(h)
+        start = np.flatnonzero(new)
+        runs = np.flatnonzero(new | changes(doc))
+        size = np.diff(np.append(runs, n)).astype(np.int32)
+        self.own[order] = np.repeat(size, size)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.hash, self.local = h[start], np.add.reduceat(weight[doc], start)
+
+    def sent(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        to = self.ranges(ranges)
+        for a, b in zip(to[:-1], to[1:], strict=True):
+            if b > a:
+                h = self.hash[a:b]
+                yield int(self.range_of(h[:1], ranges)[0]), pack(h=np.diff(h, prepend=np.uint64(0)), n=small(self.local[a:b]))
+
+    @staticmethod
+    def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+    def ranges(self, ranges: int) -> list[int]:
+        """Where each range of hashes begins; only those that are there."""
+        return [*np.flatnonzero(changes(self.range_of(self.hash, ranges))).tolist(), len(self.hash)]
+
+    def totals(self, ranges: int, answers: dict[int, bytes]) -> np.ndarray:
+        """Counts in the whole corpus: those of the block and those of other blocks."""
+        out = self.local.astype(np.int64)
+        to = self.ranges(ranges)
+        for a, b in zip(to[:-1], to[1:], strict=True):
+            if b > a and (r := int(self.range_of(self.hash[a : a + 1], ranges)[0])) in answers:
+                out[a:b] += unpack(answers[r])["n"]
+        return out
+
+
+def merge(cells: pa.Table) -> pa.Table:
+    """One range of hashes: for each block's sorted list, what all other blocks' lists add to the counts."""
+    parts = [unpack(x.as_py()) for x in cells["cell"]]
+    sizes = [len(p["h"]) for p in parts]
+    h = np.concatenate([np.cumsum(p["h"], dtype=np.uint64) for p in parts])
+    n = np.concatenate([p["n"].astype(np.int64) for p in parts])
+    order = by_hash(h)
+    start = np.flatnonzero(changes(h[order]))
+    more = np.empty(len(n), np.int64)
+    more[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(n))))
+    more -= n
+    keep, out = [], []
+    for i, own in enumerate(np.split(more, np.cumsum(sizes)[:-1])):
+        if own.any():
+            keep.append(i)
+            out.append(pack(n=small(own)))
+    return pa.table([cells["block"].take(pa.array(keep, pa.int64())), cells["range"].take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["block", "range", "cell"])
+
+
+class Levels:
+    """Hashes of the strings of any length that end at places of a sequence of words: a string is known by the two strings of 2^k words that cover it."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.h = [words]
+
+    def strings(self, place: np.ndarray, m: np.ndarray) -> np.ndarray:
+        k = np.frexp(m.astype(np.float64))[1] - 1
+        out = np.empty(len(place), np.uint64)
+        for level in range(int(k.max()) + 1 if len(k) else 0):
+            while len(self.h) <= level:
+                last, s = self.h[-1], 1 << (len(self.h) - 1)
+                nxt = last.copy()
+                nxt[s:] = mix(last[s:] * _A + last[:-s])
+                self.h.append(nxt)
+            own = np.flatnonzero(k == level)
+            p, n = place[own], m[own]
+            out[own] = mix(self.h[level][p] * _A + self.h[level][p - n + (1 << level)] + n.astype(np.uint64))
+        return out
+
+
+def opening(s: dict[str, np.ndarray]) -> tuple[Asks, list[np.ndarray], np.ndarray]:
+    """What a block asks first: all its strings of 1, 2 and 3 words; the places of each length; the document of each place."""
+    n = s["n"]
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    avail = np.arange(1, len(doc) + 1) - np.repeat(np.cumsum(n) - n, n)
+    levels = Levels(s["vocab"][s["word"]])
+    places = [np.flatnonzero(avail >= m) for m in (1, 2, 3)]
+    h = np.concatenate([levels.strings(p, np.full(len(p), m)) for m, p in zip((1, 2, 3), places, strict=True)])
+    by = np.concatenate([doc[p] for p in places])
+    # strings of one hash have one length, and places ascend within each length
+    return Asks(h, by, s["weight"]), places, doc
+
+
+class Deep:
+    """The places of a block whose last three words another document holds, with the words before them, and what is known of longer strings.
+
+    Of each open place, strings of 6, 12, 24, ... words are asked for as long as another document holds them. Between two lengths a < b with equal counts all counts are equal; if
+    they differ, the length half way is asked. All places of a string have the same history: if one place of an a-word string has another count at b, so have all. So all of
+    them ask for the same strings in the same step, and counts are whole. A string that cannot be elsewhere, because a part of it isn't, is not asked for."""
+
+    KEYS = ("word", "doc", "near", "todo", "length", "count", "single", "place", "a", "at_a", "b", "at_b")
+
+    def __init__(self, s: dict[str, np.ndarray]) -> None:
+        self.s = s
+        for k in self.KEYS:
+            setattr(self, k, s[k])
+        # how many places in a row, up to each, end with three words that are elsewhere
+        alive = self.length >= 3
+        i = np.arange(len(alive))
+        self.run = i - np.maximum.accumulate(np.where(alive & self.near, -1, np.where(alive, i - 1, i)))
+        open_ = np.zeros(len(alive), bool)
+        open_[self.place] = True
+        self.m = np.where(self.b > 0, (self.a + self.b) >> 1, 2 * self.a)
+        before = np.maximum(self.place - 1, 0)
+        ask = (self.m <= self.run[self.place] + 2) & (open_[before] | (self.length[before] >= self.m - 1))
+        self.ask = np.flatnonzero(ask)
+        p = self.place[self.ask]
+        self.asks = Asks(Levels(s["vocab"][self.word]).strings(p, self.m[self.ask]), self.doc[p], s["weight"])
+
+    def answer(self, totals: np.ndarray) -> None:
         count, rest = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
-        count[self.ask] = summed[self.of]
-        rest[self.ask] = count[self.ask] - own[of]
-        self.known.append((self.place, self.m, rest))
+        count[self.ask] = totals[self.asks.of]
+        rest[self.ask] = count[self.ask] - self.asks.own
         place, a, b, at_a, at_b, m = self.place, self.a, self.b, self.at_a, self.at_b, self.m
+        better = np.flatnonzero((rest > 0) & (m > self.length[place]))
+        better = better[np.argsort(m[better], kind="stable")]  # the longest is set last
+        self.length[place[better]], self.count[place[better]] = m[better], rest[better]
         up = (b == 0) & (rest > 0)
-        if (dense := up & (m < _DENSE)).any():  # the string without its last word must be shared too
-            shared = np.zeros(len(self.doc), bool)
-            shared[place[dense]] = True
-            before = shared[np.maximum(place - 1, 0)] & (self.avail[place] > 1)
-            lone = dense & ~before
-            self.known.append((place[lone], m[lone] + 1, np.zeros(int(lone.sum()), np.int64)))
-            up &= ~lone
         lower = (m - a > 1) & (at_a != count)
         upper = (b - m > 1) & (count != at_b) & (rest > 0)
-        self.place = np.concatenate([place[up], place[lower], place[upper]])
-        self.a = np.concatenate([m[up], a[lower], m[upper]])
-        self.at_a = np.concatenate([count[up], at_a[lower], count[upper]])
-        self.b = np.concatenate([np.zeros(int(up.sum()), np.int64), m[lower], b[upper]])
-        self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])
-        self.next()
-
-    def scores(self, counts: np.ndarray, total: int, prior: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each document: bits, longest match, summed length of contexts."""
-        n = len(self.doc)
-        place, m, rest = (np.concatenate(x) for x in zip(*self.known, strict=True))
-        some = rest > 0
-        longest = np.zeros(n, np.int64)
-        np.maximum.at(longest, place[some], m[some])
-        # a place's string of m words follows the context of m - 1 words that ends at the place before
-        after = (place + 1 < n) & some
-        after[after] = self.doc[place[after] + 1] == self.doc[place[after]]
-        at = np.concatenate([place, place[after] + 1])
-        size = np.concatenate([m, m[after] + 1])
-        word = np.concatenate([rest, np.full(int(after.sum()), -1)])
-        context = np.concatenate([np.full(len(place), -1), rest[after]])
-        by = np.lexsort((size, at))
-        at, size, word, context = at[by], size[by], word[by], context[by]
-        first = np.concatenate([[True], (at[1:] != at[:-1]) | (size[1:] != size[:-1])])
-        begin = np.flatnonzero(first)
-        word, context, at, size = np.maximum.reduceat(word, begin), np.maximum.reduceat(context, begin), at[begin], size[begin]
-        # between two known lengths the counts are those of the longer one; beyond the last they are 0
-        place_end = np.searchsorted(at, at, "right")
-        for x in (word, context):
-            i = np.where(x >= 0, np.arange(len(x)), len(x))
-            i = np.minimum.accumulate(i[::-1])[::-1]
-            x[:] = np.where(i < place_end, x[np.minimum(i, len(x) - 1)], 0)
-        own = counts[self.doc[at]] + 1
-        context[size == 1] = (total - own)[size == 1]
-        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        repeat = size - np.concatenate([[0], size[:-1]])
-        repeat[begin] = size[begin]
-        p, ends, live = np.full(n, 1.0 / vocabulary), np.append(begin[1:], len(at)), np.arange(len(begin))
-        step = begin.copy()
-        while len(live):
-            j = step[live]
-            use = context[j] > 0
-            k = j[use]
-            to = word[k] / context[k]
-            p[at[k]] = to + (prior / (context[k] + prior)) ** repeat[k] * (p[at[k]] - to)
-            step[live] += 1
-            live = live[step[live] < ends[live]]
-        seen = np.zeros(n, np.int64)
-        seen[1:] = np.where(self.doc[1:] == self.doc[:-1], longest[:-1], 0)
-        top = np.zeros(len(counts), np.int64)
-        np.maximum.at(top, self.doc, longest)
-        return np.bincount(self.doc, -np.log2(p), len(counts)), top, np.bincount(self.doc, seen, len(counts))
+        place = np.concatenate([place[up], place[lower], place[upper]])
+        by = np.argsort(place, kind="stable")
+        self.place = place[by]
+        self.a = np.concatenate([m[up], a[lower], m[upper]])[by]
+        self.at_a = np.concatenate([count[up], at_a[lower], count[upper]])[by]
+        self.b = np.concatenate([np.zeros(int(up.sum()), np.int64), m[lower], b[upper]])[by]
+        self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])[by]
+
+    def state(self) -> bytes:
+        keep = {k: self.s[k] for k in ("n", "weight", "vocab", "bits", "context", "top")}
+        return pack(**keep, **{k: x if (x := getattr(self, k)).dtype == bool else small(x) for k in self.KEYS})
+
+
+def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], total: int, prior: float, vocabulary: int) -> tuple[bytes, int]:
+    """After the first answers: sums for the positions that are settled, and the state of the others; how many places are open."""
+    asks, places, doc = opening(s)
+    n, size = s["n"].astype(np.int64), len(doc)
+    whole = asks.totals(ranges, answers)[asks.of]
+    rest = whole - asks.own
+    length, count, single, three = np.zeros(size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    at = 0
+    for m, p in enumerate(places, 1):
+        own, at = rest[at : at + len(p)], at + len(p)
+        some = p[own > 0]
+        length[some], count[some] = m, own[own > 0]
+        if m == 1:
+            single[p] = own
+        elif m == 3:
+            three[p] = whole[at - len(p) : at]
+    first = np.zeros(size, bool)
+    first[(np.cumsum(n) - n)[n > 0]] = True
+    alive = length >= 3
+    shift = lambda x: np.concatenate([x[:1] & False, x[:-1]])
+    todo = ~first & (alive | shift(alive))
+    settled = np.flatnonzero(~todo)
+    before, context = (np.where(first[settled], 0, x[np.maximum(settled - 1, 0)]) for x in (length, count))
+    p0 = unigram(single[settled], total - (n + 1)[doc[settled]], prior, vocabulary)
+    bits = np.bincount(doc[settled], cost(length[settled], count[settled], before, context, p0, prior), len(n))
+    sums = np.bincount(doc[settled], before, len(n))
+    top = np.zeros(len(n), np.int64)
+    np.maximum.at(top, doc, length)
+    ahead = lambda x: np.concatenate([x[1:], x[:1] & False])  # noqa: E731  # (a place with three words has two before it in its document)
+    keep = np.flatnonzero(alive | ahead(alive) | ahead(ahead(alive)) | todo)
+    near = np.zeros(len(keep), bool)
+    near[1:] = (keep[1:] == keep[:-1] + 1) & (doc[keep[1:]] == doc[keep[:-1]])
+    place = np.flatnonzero(alive[keep])
+    used, word = np.unique(s["word"][keep], return_inverse=True)
+    none = np.zeros(len(place), np.int64)
+    deep = dict(
+        n=s["n"], weight=s["weight"], vocab=s["vocab"][used], bits=bits, context=sums, top=top, word=small(word), doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=small(count[keep]),
+        single=small(single[keep]), place=small(place), a=none.astype(np.int32) + 3, at_a=small(three[keep[place]]), b=none.astype(np.int32), at_b=none.astype(np.int32) - 1,
+    )
+    return pack(**deep), len(place)
+
+
+def finish(s: dict[str, np.ndarray], total: int, prior: float, vocabulary: int) -> tuple[np.ndarray, ...]:
+    """Of each document: words, bits, longest match, summed length of contexts."""
+    n, i, doc = s["n"].astype(np.int64), np.flatnonzero(s["todo"]), s["doc"]  # the place before is there
+    length, count = s["length"].astype(np.int64), s["count"].astype(np.int64)
+    p0 = unigram(s["single"][i], total - (n + 1)[doc[i]], prior, vocabulary)
+    bits = s["bits"] + np.bincount(doc[i], cost(length[i], count[i], length[i - 1], count[i - 1], p0, prior), len(n))
+    context = s["context"] + np.bincount(doc[i], length[i - 1], len(n))
+    top = s["top"].astype(np.int64)
+    np.maximum.at(top, doc, length)
+    return n, bits, top, context
+
+
+def _blocks(block_words: int):
+    """Texts (a, b, weight, text) as blocks of at most block_words words; a longer text is a block of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        number, size, task = 0, 0, TaskContext.get().partitionId()
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            words, n, weight, a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = by_hash(words)
+            new = changes(words[order])
+            start = np.flatnonzero(new)
+            often = np.argsort(-np.diff(np.append(start, len(words))), kind="stable")
+            rank = np.empty(len(start), np.int32)
+            rank[often] = np.arange(len(start), dtype=np.int32)
+            word = np.empty(len(words), np.int32)
+            word[order] = rank[np.cumsum(new) - 1]
+            state = pack(n=small(n), weight=weight, vocab=words[order][start][often], word=word)
+            number += 1
+            total = int((weight * (n + 1)).sum())
+            one = np.array([len(n)])
+            cells = [pa.array([task << 32 | number], pa.int64()), lists(a, one), lists(b, one), pa.array([len(words)], pa.int64()), pa.array([total], pa.int64()), pa.array([state], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, names=["block", "h1", "h2", "open", "total", "state"])
+
+        for batch in batches:
+            words, n = word_hashes(batch.column(3))
+            end = np.cumsum(n)
+            weight, a, b = batch.column(2).to_numpy(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            i = 0
+            while i < len(n):
+                at = end[i] - n[i]
+                j = max(i if waiting else i + 1, int(np.searchsorted(end, at + block_words - size, "right")))
+                part = slice(i, j)
+                some = n[part] > 0
+                if some.any():
+                    waiting.append((words[at : end[j - 1]], n[part][some], weight[part][some], a[part][some], b[part][some]))
+                    size += int(end[j - 1] - at)
+                i = j
+                if waiting and i < len(n):
+                    yield block()
+                    waiting, size = [], 0
+        if waiting:
+            yield block()
+
+    return run
 
 
 def score_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shard_bytes: int = SHARD_BYTES, prior: float = PRIOR, vocabulary: int = VOCABULARY_SIZE,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, block_words: int = BLOCK_WORDS, range_asks: int = RANGE_ASKS, prior: float = PRIOR, vocabulary: int = VOCABULARY_SIZE,
 ) -> DataFrame:
     """(doc_id, key, n_words, bits, bits_per_word, longest_match, mean_context) for each document under all other documents.
 
-    Documents are cut by key into shards of about ``shard_bytes``. In each step the shards ask for the counts of some word strings (see ``Places``), which are summed by hash;
-    a shard is told of those that others hold too. The number of steps grows with the logarithm of the longest match.
+    A step is two jobs over the blocks' states, which are written tables: blocks ask, lists are merged by range of hash (about ``range_asks`` strings each), and blocks take the answers in.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = -(-size // shard_bytes) or 1
-    key = doc_key(F.col(doc_id), F.col(text))
-    rows = docs.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.col(doc_id).alias("id"), key.alias("key"), F.lower(F.col(text)).alias("text"))
-    told = last = spark.createDataFrame([], "shard int, step int, hash long, count long, total long, state binary")
-    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-
-    def load(d: pa.Table, t: pa.Table, steps: int) -> tuple[pa.Table, np.ndarray, Places]:
-        d = d.take(pa.array(np.unique(d["key"].to_numpy(), return_index=True)[1]))
-        words, counts = word_hashes(d["text"])
-        places = Places(words, counts)
-        step, hashes, totals = (t[c].to_numpy() for c in ("step", "hash", "total"))
-        state = t["state"].drop_null() if "state" in t.column_names else []
-        if len(state):
-            places.resume(state[0].as_py())
-        else:
-            places.next()
-        for i in range(steps - 1 if len(state) else 0, steps):
-            now = (step == i) & (hashes != 0)
-            places.answer(hashes[now], totals[now])
-        return d, counts, places
-
-    steps, total = 0, 0
-    while True:
-
-        def ask(d: pa.Table, t: pa.Table, *, steps: int = steps) -> pa.Table:
-            schema = pa.schema([("shard", pa.int32()), ("mark", pa.int32()), ("hash", pa.int64()), ("count", pa.int64()), ("state", pa.binary())])
-            # a shard that is done has no mark; those that aren't say so until then
-            if not d.num_rows or (steps and not pc.any(pc.equal(t["hash"], 0)).as_py()):
-                return schema.empty_table()
-            _, counts, places = load(d, t, steps)
-            if not len(places.place):
-                return schema.empty_table()
-            shard, n = d["shard"][0].as_py(), len(places.hash)
-            # the mark has hash 0, the shard's words and ends, and once few places are left, the open ranges
-            state = places.state() if steps >= _DENSE else None
-            return pa.table([
-                pa.array(np.full(n + 1, shard, np.int32)), pa.array(np.append(np.full(n, -1, np.int32), np.int32(shard))), pa.array(np.append(places.hash, 0)),
-                pa.array(np.append(places.local, counts.sum() + (counts > 0).sum())), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([state], pa.binary())]),
-            ], schema=schema)
-
-        asked = rows.groupBy("shard").cogroup(last.groupBy("shard")).applyInArrow(ask, "shard int, mark int, hash long, count long, state binary")
-        summed = asked.withColumn("total", F.sum("count").over(Window.partitionBy("hash", "mark"))).where("total > count or hash = 0")
-        now = written(summed.select("shard", F.lit(steps).alias("step"), "hash", "count", "total", "state"), "told")
-        left, words = now.where("hash = 0").agg(F.count("*"), F.sum("count")).first()
-        total = total if steps else words or 0
-        if not left:
-            break
-        told = told.unionByName(now) if steps else now
+    low = F.lower(F.col(text))
+    keyed = docs.select(F.col(doc_id).alias("id"), doc_key(F.col(doc_id), F.col(text)).alias("key"), F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), low.alias("t"))
+    names = written(keyed.select("id", "key", "h1", "h2").distinct(), "names")
+    weights = names.groupBy("h1", "h2").agg(F.count("*").alias("weight"))
+    texts = keyed.where("t is not null").groupBy("h1", "h2").agg(F.first("t").alias("t")).join(weights, ["h1", "h2"]).select("h1", "h2", "weight", "t")
+    fields = [T.StructField("block", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("h1", "h2")), *(T.StructField(x, T.LongType()) for x in ("open", "total")), T.StructField("state", T.BinaryType())]
+    state = written(texts.mapInArrow(_blocks(block_words), T.StructType(fields)), "blocks")
+    cell = "block long, range int, cell binary"
+    found = state.agg(F.sum("open"), F.sum("total")).first()
+    left, total, step = 2 * (found[0] or 0), found[1] or 0, 0  # the first lists have more strings than places
+    while left:
+        ranges = -(-left // range_asks)
+
+        def ask(batches: Iterator[pa.RecordBatch], *, ranges: int = ranges, step: int = step) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    s = unpack(data.as_py())
+                    asks = Deep(s).asks if step else opening(s)[0]
+                    for r, c in asks.sent(ranges):
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
+
+        def answer(s: pa.Table, a: pa.Table, *, ranges: int = ranges, step: int = step) -> pa.Table:
+            cells = dict(zip(a["range"].to_pylist(), a["cell"].to_pylist(), strict=True))
+            if not s["open"][0].as_py():
+                return s
+            own = unpack(s["state"][0].as_py())
+            if step:
+                deep = Deep(own)
+                deep.answer(deep.asks.totals(ranges, cells))
+                data, open_ = deep.state(), len(deep.place)
+            else:
+                data, open_ = begin(own, ranges, cells, total, prior, vocabulary)
+            if not open_:
+                data = pack(**dict(zip(("n", "bits", "top", "context"), finish(unpack(data), total, prior, vocabulary), strict=True)))
+            return s.set_column(3, "open", pa.array([open_], pa.int64())).set_column(5, "state", pa.array([data], pa.binary()))
+
+        asked = state.where("open > 0").select("block", "state").mapInArrow(ask, cell)
+        answers = written(asked.groupBy("range").applyInArrow(merge, cell), "answers")
+        after = written(state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, T.StructType(fields)), "state")
+        left = after.agg(F.sum("open")).first()[0] or 0
+        drop_written(spark, [path_of(answers), path_of(state)])
+        state, step = after, step + 1
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # else the shuffle files of all steps stay on disk
-        last = now if steps >= _DENSE else told  # with the state, the last step's counts do
-        steps += 1
-
-    def finish(d: pa.Table, t: pa.Table) -> pa.Table:
-        names = ["doc_id", "key", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"]
-        d, counts, places = load(d, t, steps)
-        none = counts == 0
-        bits, longest, contexts = places.scores(counts, total, prior, vocabulary) if len(places.doc) else (np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts)))
-        each = np.maximum(counts, 1)
-        some = [pa.array(x, mask=none) for x in (bits, bits / each, longest.astype(np.int32), contexts / each)]
-        return pa.table([d["id"], d["key"], pa.array(counts), *some], names=names)
-
-    out = f"doc_id {kind}, key long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double"
-    return rows.groupBy("shard").cogroup(told.drop("state", "count").groupBy("shard")).applyInArrow(finish, out)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, bits, top, context = unpack(batch.column(2)[i].as_py()).values()
+                cells = [batch.column(0)[i].values, batch.column(1)[i].values, pa.array(n), pa.array(bits), pa.array(bits / n), pa.array(top.astype(np.int32)), pa.array(context / n)]
+                yield pa.RecordBatch.from_arrays(cells, names=["h1", "h2", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"])
+
+    out = state.select("h1", "h2", "state").mapInArrow(scored, "h1 long, h2 long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double")
+    return names.join(out, ["h1", "h2"], "left").select(F.col("id").alias("doc_id"), "key", F.coalesce("n_words", F.lit(0)).alias("n_words"), "bits", "bits_per_word", "longest_match", "mean_context")
