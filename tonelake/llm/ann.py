@@ -2,24 +2,25 @@
 
 Each vector's two halves are quantised separately (``centroids`` k-means centroids each, trained by Lloyd steps over all rows), so a vector falls into one of
 centroids ** 2 cells. A query visits cells in order of the summed distances of its halves to the cell's two centroids, taken from a heap, until the
-visited cells hold ``share`` of all entries; the entries of just these cells are reranked with their own vectors. Every row is a query.
+visited cells hold ``share`` of all entries; the entries of just these cells are reranked with their own vectors. Every row is an entry; queries are the rows whose id
+``queries`` accepts, by default all.
 
-Cells are cut, in order, into shards of about ``shard_rows`` entries; a query goes, with the set of cells that it visits, to the shards that hold any of them, and
-each shard reranks a block of queries at a time; the shards' best are merged. How large ``share`` must be depends on the vectors: see the README for measurements.
+Entries are laid out by cell and cut into shards of about ``shard_rows``, large cells too; a query goes, with the set of cells that it visits, to the shards that hold any of them, and
+each shard reranks a block of at most about ``query_rows`` queries at a time; the shards' best are merged. How large ``share`` must be depends on the vectors: see the README for measurements.
 
 Cases: unusable vectors (see vectors.py) are neither queries nor entries. A row is not its own neighbour; another row with the same id isn't either, one with the same vector is.
 A null id counts as an id. Rows with one id and different vectors are queries of their own, each with its own neighbours.
-Ties go to the lesser id. With k or fewer other rows a query has fewer neighbours. Repeated rows (equal id and vector) are one row. An empty table gives an empty result.
+A null id is a query if ``queries`` is not given. Columns besides id and vector are ignored, whatever their names. Ties go to the lesser id. With k or fewer other rows a query has fewer neighbours. Repeated rows (equal id and vector) are one row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,10 +83,10 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, need: int) -> l
 
 
 def neighbours(
-    rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, k: int = K, centroids: int = CENTROIDS, share: float = SHARE,
+    rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, queries: Callable[[Column], Column] | None = None, k: int = K, centroids: int = CENTROIDS, share: float = SHARE,
     iterations: int = ITERATIONS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest other rows found for every usable row, by Euclidean distance."""
+    """(vec_id, rank, neighbour_id, distance): the k nearest other rows found for every usable row that is a query, by Euclidean distance."""
     spark = rows.sparkSession
     kind = rows.schema[vec_id].dataType
     out = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("other", kind), T.StructField("other_row", T.LongType()), T.StructField("distance", T.DoubleType())])
@@ -110,23 +111,27 @@ def neighbours(
     for r in coded.groupBy("cell").count().collect():  # centroids ** 2 at most
         counts[r.cell] = r["count"]
     total = int(counts.sum())
-    shard_of = ((np.cumsum(counts) - counts) // shard_rows).astype(np.int32)
-    shards, blocks, need = int(shard_of.max()) + 1, -(-total // query_rows), max(k + 1, int(np.ceil(share * total)))
-    plan = spark.sparkContext.broadcast((counts.tolist(), shard_of))
+    begin = np.cumsum(counts) - counts
+    first, last = begin // shard_rows, np.maximum(begin + counts - 1, begin) // shard_rows  # the shards of each cell
+    asking = table.where(queries(F.col("id"))) if queries else table
+    blocks, need = max(1, -(-asking.count() // query_rows)), max(k + 1, int(np.ceil(share * total)))
+    plan = spark.sparkContext.broadcast((counts.tolist(), first, last))  # of centroids ** 2 cells
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (b1, b2), (held, shard_at) = books.value, plan.value
-        for batch in batches:
+        (b1, b2), (held, lo, hi) = books.value, plan.value
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             x = matrix(batch.column(1), d).astype(np.float64)
             d1, d2 = _d2(x[:, :h], b1), _d2(x[:, h:], b2)
             seen = np.zeros((len(x), cells), bool)
             for i in range(len(x)):
                 seen[i, traverse(d1[i], d2[i], held, need)] = True
             at, to = [], []
-            for s in range(shards):
-                some = np.flatnonzero(seen[:, shard_at == s].any(1))
-                at.append(some)
-                to.append(np.full(len(some), s, np.int32))
+            for i in range(len(x)):
+                cells_of = np.flatnonzero(seen[i])
+                size = hi[cells_of] - lo[cells_of] + 1
+                own = np.unique(np.repeat(lo[cells_of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+                at.append(np.full(len(own), i))
+                to.append(own.astype(np.int32))
             take = pa.array(np.concatenate(at))
             bits = np.packbits(seen, axis=1)
             packed = pa.array([r.tobytes() for r in bits], pa.binary())
@@ -134,9 +139,10 @@ def neighbours(
 
     row = F.xxhash64("id", "vec")
     block = F.pmod(row, F.lit(blocks)).cast("int")
-    asked = table.mapInArrow(visit, T.StructType([T.StructField("shard", T.IntegerType()), *table.schema.fields, T.StructField("cells", T.BinaryType())])).withColumn("row", row).withColumn("block", block)
-    held_in = F.element_at(F.lit(shard_of.tolist()), F.col("cell") + 1)
-    entries = coded.withColumn("shard", held_in).withColumn("row", row).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asking.mapInArrow(visit, T.StructType([T.StructField("shard", T.IntegerType()), *table.schema.fields, T.StructField("cells", T.BinaryType())])).withColumn("row", row).withColumn("block", block)
+    of_cell = lambda x: F.element_at(F.lit(x.tolist()), F.col("cell") + 1)
+    held_in = F.floor((of_cell(begin) + F.pmod(F.col("row"), of_cell(np.maximum(counts, 1)))) / shard_rows).cast("int")
+    entries = coded.withColumn("row", row).withColumn("shard", held_in).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rerank(e: pa.Table, q: pa.Table) -> pa.Table:
         schema = pa.schema([("row", pa.int64()), ("id", q.schema.field("id").type), ("other", q.schema.field("id").type), ("other_row", pa.int64()), ("distance", pa.float64())])
