@@ -31,9 +31,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import doc_key, drop_written, lists, path_of, written
 from .words import mix, word_hashes
@@ -209,35 +208,42 @@ def score(
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, the first bytes of all values before their second ones, and so on."""
+    """Arrays as compressed bytes: whole numbers in as few bytes as hold them, the low halves of all values before the high ones."""
     out = []
     for name, a in arrays.items():
+        kind = a.dtype
+        if kind.kind == "i" and len(a):
+            most = max(int(a.max()), -int(a.min()))
+            a = a.astype(np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
         a = np.ascontiguousarray(a)
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else np.zeros(0, np.uint8)
-        out.append((name, a.dtype.str, len(a), pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""))
+        data = np.ascontiguousarray(a.view(np.uint16).reshape(len(a), -1).T) if a.itemsize > 2 and len(a) else a
+        out.append((name, kind.str, a.dtype.str, len(a), pa.compress(data.tobytes(), codec="zstd", asbytes=True) if len(a) else b""))
     return pickle.dumps(out)
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
     out = {}
-    for name, kind, n, cell in pickle.loads(data):
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(pa.decompress(cell, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n) if n else np.zeros((size, 0), np.uint8)
-        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+    for name, kind, held, n, cell in pickle.loads(data):
+        size = np.dtype(held).itemsize
+        raw = pa.decompress(cell, n * size, codec="zstd", asbytes=True) if n else b""
+        a = np.frombuffer(raw, held) if size <= 2 or not n else np.ascontiguousarray(np.frombuffer(raw, np.uint16).reshape(-1, n).T).view(held).reshape(n)
+        out[name] = a.astype(kind)
     return out
 
 
-def small(a: np.ndarray) -> np.ndarray:
-    """Whole numbers in four bytes where they fit."""
-    return a.astype(np.int32) if not len(a) or max(a.max(), -a.min()) < 2**31 else a
-
-
 def by_hash(h: np.ndarray) -> np.ndarray:
-    """The stable order of hashes. Their places are packed into the low bits for the sort; where the high bits tie by chance it is sorted otherwise."""
+    """The stable order of hashes. Their places are packed into the low bits for the sort; where the high bits tie by chance, just those are sorted again."""
     low = np.uint64((1 << max(1, (len(h) - 1).bit_length())) - 1)
     order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
     sorted_ = h[order]
-    return np.argsort(h, kind="stable") if (sorted_[1:] < sorted_[:-1]).any() else order
+    wrong = np.flatnonzero(sorted_[1:] < sorted_[:-1])
+    if len(wrong):
+        high = sorted_ & ~low
+        first, last = np.searchsorted(high, high[wrong], "left"), np.searchsorted(high, high[wrong], "right")
+        at = np.unique(np.concatenate([np.arange(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]))
+        own = order[at]
+        order[at] = own[np.argsort(h[own], kind="stable")]
+    return order
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -276,7 +282,7 @@ class Asks:
         for a, b in zip(to[:-1], to[1:], strict=True):
             if b > a:
                 h = self.hash[a:b]
-                yield int(self.range_of(h[:1], ranges)[0]), pack(h=np.diff(h, prepend=np.uint64(0)), n=small(self.local[a:b]))
+                yield int(self.range_of(h[:1], ranges)[0]), pack(h=np.diff(h, prepend=np.uint64(0)), n=self.local[a:b])
 
     @staticmethod
     def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -311,7 +317,7 @@ def merge(cells: pa.Table) -> pa.Table:
     for i, own in enumerate(np.split(more, np.cumsum(sizes)[:-1])):
         if own.any():
             keep.append(i)
-            out.append(pack(n=small(own)))
+            out.append(pack(n=own))
     return pa.table([cells["block"].take(pa.array(keep, pa.int64())), cells["range"].take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["block", "range", "cell"])
 
 
@@ -328,7 +334,9 @@ class Levels:
             while len(self.h) <= level:
                 last, s = self.h[-1], 1 << (len(self.h) - 1)
                 nxt = last.copy()
-                nxt[s:] = mix(last[s:] * _A + last[:-s])
+                nxt[s:] *= _A
+                nxt[s:] += last[:-s]
+                nxt ^= nxt >> np.uint64(29)
                 self.h.append(nxt)
             own = np.flatnonzero(k == level)
             p, n = place[own], m[own]
@@ -362,6 +370,11 @@ class Deep:
         self.s = s
         for k in self.KEYS:
             setattr(self, k, s[k])
+        self.levels = Levels(s["vocab"][self.word])
+        self.next()
+
+    def next(self) -> None:
+        """The strings to ask for."""
         # how many places in a row, up to each, end with three words that are elsewhere
         alive = self.length >= 3
         i = np.arange(len(alive))
@@ -373,7 +386,7 @@ class Deep:
         ask = (self.m <= self.run[self.place] + 2) & (open_[before] | (self.length[before] >= self.m - 1))
         self.ask = np.flatnonzero(ask)
         p = self.place[self.ask]
-        self.asks = Asks(Levels(s["vocab"][self.word]).strings(p, self.m[self.ask]), self.doc[p], s["weight"])
+        self.asks = Asks(self.levels.strings(p, self.m[self.ask]), self.doc[p], self.s["weight"])
 
     def answer(self, totals: np.ndarray) -> None:
         count, rest = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
@@ -393,14 +406,15 @@ class Deep:
         self.at_a = np.concatenate([count[up], at_a[lower], count[upper]])[by]
         self.b = np.concatenate([np.zeros(int(up.sum()), np.int64), m[lower], b[upper]])[by]
         self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])[by]
+        self.next()
 
     def state(self) -> bytes:
         keep = {k: self.s[k] for k in ("n", "weight", "vocab", "bits", "context", "top")}
-        return pack(**keep, **{k: x if (x := getattr(self, k)).dtype == bool else small(x) for k in self.KEYS})
+        return pack(**keep, **{k: getattr(self, k) for k in self.KEYS})
 
 
-def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], total: int, prior: float, vocabulary: int) -> tuple[bytes, int]:
-    """After the first answers: sums for the positions that are settled, and the state of the others; how many places are open."""
+def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], total: int, prior: float, vocabulary: int) -> Deep:
+    """After the first answers: sums for the positions that are settled, and what is known of the others."""
     asks, places, doc = opening(s)
     n, size = s["n"].astype(np.int64), len(doc)
     whole = asks.totals(ranges, answers)[asks.of]
@@ -435,10 +449,10 @@ def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], tota
     used, word = np.unique(s["word"][keep], return_inverse=True)
     none = np.zeros(len(place), np.int64)
     deep = dict(
-        n=s["n"], weight=s["weight"], vocab=s["vocab"][used], bits=bits, context=sums, top=top, word=small(word), doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=small(count[keep]),
-        single=small(single[keep]), place=small(place), a=none.astype(np.int32) + 3, at_a=small(three[keep[place]]), b=none.astype(np.int32), at_b=none.astype(np.int32) - 1,
+        n=n, weight=s["weight"], vocab=s["vocab"][used], bits=bits, context=sums, top=top, word=word, doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=count[keep],
+        single=single[keep], place=place, a=none + 3, at_a=three[keep[place]], b=none, at_b=none - 1,
     )
-    return pack(**deep), len(place)
+    return Deep(deep)
 
 
 def finish(s: dict[str, np.ndarray], total: int, prior: float, vocabulary: int) -> tuple[np.ndarray, ...]:
@@ -471,12 +485,12 @@ def _blocks(block_words: int):
             rank[often] = np.arange(len(start), dtype=np.int32)
             word = np.empty(len(words), np.int32)
             word[order] = rank[np.cumsum(new) - 1]
-            state = pack(n=small(n), weight=weight, vocab=words[order][start][often], word=word)
+            state = pack(n=n, weight=weight, vocab=words[order][start][often], word=word)
             number += 1
             total = int((weight * (n + 1)).sum())
             one = np.array([len(n)])
-            cells = [pa.array([task << 32 | number], pa.int64()), lists(a, one), lists(b, one), pa.array([len(words)], pa.int64()), pa.array([total], pa.int64()), pa.array([state], pa.binary())]
-            return pa.RecordBatch.from_arrays(cells, names=["block", "h1", "h2", "open", "total", "state"])
+            cells = [pa.array([task << 32 | number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([len(words)], pa.int64()), pa.array([total], pa.int64()), pa.array([state], pa.binary()), lists(a, one), lists(b, one)]
+            return pa.RecordBatch.from_arrays(cells, names=["block", "range", "open", "total", "cell", "h1", "h2"])
 
         for batch in batches:
             words, n = word_hashes(batch.column(3))
@@ -501,12 +515,18 @@ def _blocks(block_words: int):
     return run
 
 
+def _swept(spark: SparkSession) -> None:
+    """Shuffle files of tables that are no longer used go; else those of all steps stay on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, block_words: int = BLOCK_WORDS, range_asks: int = RANGE_ASKS, prior: float = PRIOR, vocabulary: int = VOCABULARY_SIZE,
 ) -> DataFrame:
     """(doc_id, key, n_words, bits, bits_per_word, longest_match, mean_context) for each document under all other documents.
 
-    A step is two jobs over the blocks' states, which are written tables: blocks ask, lists are merged by range of hash (about ``range_asks`` strings each), and blocks take the answers in.
+    A step is two jobs over a written table of blocks' states and lists: lists are merged by range of hash (about ``range_asks`` strings each), and blocks take the answers in and ask again.
     """
     spark = docs.sparkSession
     low = F.lower(F.col(text))
@@ -514,45 +534,49 @@ def score_documents(
     names = written(keyed.select("id", "key", "h1", "h2").distinct(), "names")
     weights = names.groupBy("h1", "h2").agg(F.count("*").alias("weight"))
     texts = keyed.where("t is not null").groupBy("h1", "h2").agg(F.first("t").alias("t")).join(weights, ["h1", "h2"]).select("h1", "h2", "weight", "t")
-    fields = [T.StructField("block", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("h1", "h2")), *(T.StructField(x, T.LongType()) for x in ("open", "total")), T.StructField("state", T.BinaryType())]
-    state = written(texts.mapInArrow(_blocks(block_words), T.StructType(fields)), "blocks")
-    cell = "block long, range int, cell binary"
-    found = state.agg(F.sum("open"), F.sum("total")).first()
-    left, total, step = 2 * (found[0] or 0), found[1] or 0, 0  # the first lists have more strings than places
-    while left:
-        ranges = -(-left // range_asks)
+    schema = "block long, range int, open long, total long, cell binary, h1 array<long>, h2 array<long>"  # states have no range, lists for a range of hashes nothing else
+    table = written(texts.mapInArrow(_blocks(block_words), schema), "blocks")
+    found = table.agg(F.sum("open"), F.sum("total")).first()
+    words, total, step = found[0] or 0, found[1] or 0, 0
+    left, ranges = words, -(-2 * words // range_asks)
+    first_ranges = ranges  # the first lists have more strings than places
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for r, c in opening(unpack(data.as_py()))[0].sent(first_ranges):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
 
-        def ask(batches: Iterator[pa.RecordBatch], *, ranges: int = ranges, step: int = step) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    s = unpack(data.as_py())
-                    asks = Deep(s).asks if step else opening(s)[0]
-                    for r, c in asks.sent(ranges):
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
+    asked = table.select("block", "cell").mapInArrow(opened, "block long, range int, cell binary")
+    _swept(spark)
+    while left:
+        after_ranges = max(1, -(-(left // 2 if step == 0 else left) // range_asks))
 
-        def answer(s: pa.Table, a: pa.Table, *, ranges: int = ranges, step: int = step) -> pa.Table:
-            cells = dict(zip(a["range"].to_pylist(), a["cell"].to_pylist(), strict=True))
+        def answer(s: pa.Table, a: pa.Table, *, ranges: int = ranges, after_ranges: int = after_ranges, first: bool = step == 0) -> pa.Table:
             if not s["open"][0].as_py():
                 return s
-            own = unpack(s["state"][0].as_py())
-            if step:
+            cells = dict(zip(a["range"].to_pylist(), a["cell"].to_pylist(), strict=True))
+            own = unpack(s["cell"][0].as_py())
+            if first:
+                deep = begin(own, ranges, cells, total, prior, vocabulary)
+            else:
                 deep = Deep(own)
                 deep.answer(deep.asks.totals(ranges, cells))
-                data, open_ = deep.state(), len(deep.place)
-            else:
-                data, open_ = begin(own, ranges, cells, total, prior, vocabulary)
-            if not open_:
-                data = pack(**dict(zip(("n", "bits", "top", "context"), finish(unpack(data), total, prior, vocabulary), strict=True)))
-            return s.set_column(3, "open", pa.array([open_], pa.int64())).set_column(5, "state", pa.array([data], pa.binary()))
-
-        asked = state.where("open > 0").select("block", "state").mapInArrow(ask, cell)
-        answers = written(asked.groupBy("range").applyInArrow(merge, cell), "answers")
-        after = written(state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, T.StructType(fields)), "state")
+            open_, sent = len(deep.place), list(deep.asks.sent(after_ranges))
+            data = deep.state() if open_ else pack(**dict(zip(("n", "bits", "top", "context"), finish(unpack(deep.state()), total, prior, vocabulary), strict=True)))
+            s = s.set_column(2, "open", pa.array([open_], pa.int64())).set_column(4, "cell", pa.array([data], pa.binary()))
+            n, none = len(sent), lambda kind: pa.nulls(len(sent), kind)
+            cells = [pa.array([s["block"][0].as_py()] * n, pa.int64()), pa.array([r for r, _ in sent], pa.int32()), none(pa.int64()), none(pa.int64()), pa.array([c for _, c in sent], pa.binary()), none(s.schema.field("h1").type), none(s.schema.field("h2").type)]
+            return pa.concat_tables([s, pa.table(cells, schema=s.schema)])
+
+        answers = written(asked.groupBy("range").applyInArrow(merge, "block long, range int, cell binary"), "answers")
+        _swept(spark)
+        after = written(table.where("range is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "state")
         left = after.agg(F.sum("open")).first()[0] or 0
-        drop_written(spark, [path_of(answers), path_of(state)])
-        state, step = after, step + 1
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # else the shuffle files of all steps stay on disk
+        drop_written(spark, [path_of(answers), path_of(table)])
+        table, step, ranges = after, step + 1, after_ranges
+        asked = table.where("range is not null").select("block", "range", "cell")
+        _swept(spark)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -561,5 +585,5 @@ def score_documents(
                 cells = [batch.column(0)[i].values, batch.column(1)[i].values, pa.array(n), pa.array(bits), pa.array(bits / n), pa.array(top.astype(np.int32)), pa.array(context / n)]
                 yield pa.RecordBatch.from_arrays(cells, names=["h1", "h2", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"])
 
-    out = state.select("h1", "h2", "state").mapInArrow(scored, "h1 long, h2 long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double")
+    out = table.where("range is null").select("h1", "h2", "cell").mapInArrow(scored, "h1 long, h2 long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double")
     return names.join(out, ["h1", "h2"], "left").select(F.col("id").alias("doc_id"), "key", F.coalesce("n_words", F.lit(0)).alias("n_words"), "bits", "bits_per_word", "longest_match", "mean_context")
