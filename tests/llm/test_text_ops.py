@@ -478,6 +478,24 @@ def test_mixing_cases(spark):
     assert mixing.mix_sources(odd(spark, rows=[])).count() == 0 and mixing.keep_mixed(odd(spark, rows=[])).count() == 0
 
 
+def test_source_plan_is_that_of_probabilities(spark):
+    rng = random.Random(4)
+    sizes = {None: 40, "none": 0, **{f"s{i}": int(10 ** rng.uniform(0, 4)) for i in range(60)}}
+    units = spark.createDataFrame([(s, t // 2) for s, t in sizes.items()] + [(s, t - t // 2) for s, t in sizes.items()], "source string, n_tokens long")
+    for weights, fraction in ((None, 0.5), (None, 1.0), ({s: rng.random() for s in [*list(sizes)[:50], "absent"]}, 0.3), ({"s1": 1.0}, 0.9), ({}, 0.5)):
+        plan, most = mixing.source_plan(units, weights, fraction, 0.5)
+        want = mixing.probabilities(sizes, {s: t**0.5 for s, t in sizes.items() if t} if weights is None else weights, fraction)
+        assert {r.source: r.inclusion for r in plan.collect()} == {s: pytest.approx(p, abs=1e-12) for s, p in want.items()} and most == 2
+
+
+def test_small_blocks(spark):
+    docs = odd(spark, rows=[(i, "w " * (i % 7 + 1), "en", "a", 0) for i in range(40)])
+    for block in (1, 2, 3):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, block=block)
+    assert sum(r.selected for r in mixing.mix_sources(docs, block=4).collect()) in (19, 20, 21)
+
+
 # sharding
 
 
@@ -567,3 +585,31 @@ def test_warc_pages(spark):
 def test_tiny_arrow_batches():
     assert minhash.signatures(pa.array([], pa.string()))[0].shape == (0, minhash.PERMS)
     assert minhash.signatures(pa.array([None, ""], pa.string()))[1].tolist() == [False, False]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_range_stays_overfull(spark, seed):
+    """Sizes, ties and a sample that is far too small: still no range over the limit holds two records that could be apart."""
+    rng = random.Random(seed)
+    texts_ = [(i // 3, rng.choice(["", "x", "y" * 40, "z" * 900, "w" * 260]), "en", rng.choice(["a", "a", "b", None]), 0) for i in range(600)]
+    docs = odd(spark, rows=[*texts_, *([(77, "same " * 60, "en", "a", 0)] * 9)])
+    target = 300
+    got = sharding.shard(docs, target_bytes=target, oversample=1, seed=seed).collect()
+    assert len(got) == 609
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, Counter())[r.source, r.doc_id] += len(r.text)
+    assert all(sum(c.values()) <= sharding.MOST * target or len([x for x in c.values() if x]) == 1 for c in held.values())
+    order = sorted(held)
+    key = lambda k: (k[0] is not None, k[0] or "", k[1])
+    assert all(max(map(key, held[x])) < min(map(key, held[y])) for x, y in zip(order, order[1:], strict=False))
+
+
+def test_first_splitters_do_not_depend_on_partitions(spark):
+    docs = odd(spark, rows=[(i, "w" * (i * 37 % 101), "en", "ab"[i % 2], 0) for i in range(900)])
+    found = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sharding.splitters(docs, target_bytes=2000))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]

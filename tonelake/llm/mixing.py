@@ -10,7 +10,7 @@ token constraint, then the document constraint, for the last two documents.
 Levels follow from the sources' counts. A document's random place comes from a hash of its id, and each block's moves from a hash of source, level
 and block, so a recomputed task gives the same sample.
 
-Cases: rows with equal id are one unit (its source is the least of theirs, its tokens are their sum): all stay or all go. A null id is a unit too, a null source
+Cases: ties of places go by the id as a string. A text is counted whole, however long. Rows with equal id are one unit (its source is the least of theirs, its tokens are their sum): all stay or all go. A null id is a unit too, a null source
 a source like any other. Null or empty text has 0 tokens and takes part. A source without tokens is not sampled: its probability is 0. Weights of sources
 that are not there are ignored; sources without a weight have weight 0. An empty table gives an empty result. Columns besides id, text and source are ignored, whatever their names.
 """
@@ -101,18 +101,18 @@ def mix_sources(
     weights: target token shares of the sources, in any unit; default: each source's tokens to the power ``temperature``.
     fraction: the sample's tokens as a share of all tokens.
     """
-    spark = docs.sparkSession
+    if block < 4:
+        raise ValueError("block must be 4 at least: each block leaves two documents, and two blocks must become one")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"))
     units = written_units(rows)
-    totals = units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()  # a row for each source
-    tokens = {r.source: r.t for r in totals}
-    w = {s: float(t) ** temperature for s, t in tokens.items() if t} if weights is None else weights
-    p = probabilities(tokens, w, fraction)
-    levels: list[dict[str | None, int]] = [{r.source: -(-r.n // block) for r in totals}]
-    while max(levels[-1].values(), default=1) > 1:
-        levels.append({s: -(-2 * n // block) for s, n in levels[-1].items()})
-    plan = spark.createDataFrame([(r.source, p[r.source], *(x[r.source] for x in levels)) for r in totals], "source string, inclusion double" + "".join(f", n{i} long" for i in range(len(levels))))
-    joined = units.join(F.broadcast(plan), units["source"].eqNullSafe(plan["source"])).drop(plan["source"])  # as many rows as sources, collected before
+    plan, most = source_plan(units, weights, fraction, temperature)
+    levels = [-(-most // block)]
+    plan = plan.withColumn("n0", F.ceil(F.col("n") / block).cast("long"))
+    while levels[-1] > 1:
+        levels.append(-(-2 * levels[-1] // block))
+        plan = plan.withColumn(f"n{len(levels) - 1}", F.ceil(F.col(f"n{len(levels) - 2}") * 2 / block).cast("long"))
+    plan = written(plan.drop("n"), "plan")  # Spark chooses the join by its size: it has a row for each source
+    joined = units.join(plan, units["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     state = joined.withColumn("place", F.xxhash64("id", F.lit(seed))).withColumn("order", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("p", F.col("inclusion"))
     settled: list[DataFrame] = []
     for i in range(len(levels)):
@@ -130,6 +130,30 @@ def mix_sources(
     return state.select(F.col("id").alias("doc_id"), "source", "n_tokens", "inclusion", (F.col("p") > 0.5).alias("selected"))
 
 
+def source_plan(units: DataFrame, weights: Mapping[str | None, float] | None, fraction: float, temperature: float) -> tuple[DataFrame, int]:
+    """(source, n, inclusion) for each source, by the rule of ``probabilities``, and the largest n.
+
+    A source of t tokens and weight w is full where t <= w * level, else its inclusion is w * level / t. The level rises until no more sources are full; each turn is one aggregate."""
+    spark = units.sparkSession
+    sources = units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    if weights is None:
+        sources = sources.withColumn("w", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(temperature))).otherwise(0.0))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "given string, w double")
+        sources = sources.join(given, sources["source"].eqNullSafe(given["given"]), "left").select("source", "t", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    sources = written(sources, "sources")
+    total, most = sources.agg(F.sum("t"), F.max("n")).first()
+    level, full = 0.0, -1
+    while True:
+        fits = F.col("t") <= F.col("w") * level
+        now, held, rest = sources.where("t > 0 and w > 0").agg(F.count_if(fits), F.sum(F.when(fits, F.col("t"))), F.sum(F.when(~fits, F.col("w")))).first()
+        if now == full or not rest:
+            break
+        full, level = now, max(level, (fraction * total - (held or 0)) / rest)
+    inclusion = F.when((F.col("t") > 0) & (F.col("w") > 0), F.least(F.lit(1.0), F.col("w") * level / F.col("t"))).otherwise(0.0)
+    return sources.select("source", "n", inclusion.alias("inclusion")), most or 0
+
+
 def written_units(rows: DataFrame) -> DataFrame:
     """One row for each id, as a written table: it is read once for the totals and once for the flight."""
     return written(rows.groupBy("id").agg(F.min("source").alias("source"), F.sum("n_tokens").alias("n_tokens")), "units")
