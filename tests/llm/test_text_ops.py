@@ -172,7 +172,7 @@ def test_minhash_large_group_and_copies(spark):
 def test_minhash_cases(spark):
     docs = clashing(odd(spark, rows=[*ODD, (8, "THE same, row!", "en", "a", 1), (9, "", "en", "a", 1), (9, "other words altogether", "en", "a", 1), (9, "again some more words", "en", "a", 1)]))
     got = minhash.near_duplicates(docs).collect()
-    assert {(r.doc_id, r.group_id, r.group_size, r.keep) for r in got} == {(6, 6, 2, True), (8, 6, 2, False)}
+    assert {(r.doc_id, r.group_id, r.group_size, r.n_links, r.keep) for r in got} == {(6, 6, 2, 0, True), (8, 6, 2, 0, False)}
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({None: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 3})

@@ -119,7 +119,7 @@ def test_itq_against_brute_force(spark):
 def test_itq_cases(spark):
     one = [1.0, 2.0, 3.0, 4.0]
     rows = itq.near_duplicates(frame(spark, [one, one, [-1.0, 0.0, 0.0, 1.0]], [(0, one, 3), (7, [2.0, 4.0, 6.0, 8.0], 0), (8, None, 0), (9, [0.0] * 4, 0)])).orderBy("vec_id").collect()
-    assert [(r.vec_id, r.group_id, r.group_size, r.keep) for r in rows] == [(0, 0, 3, True), (1, 0, 3, False), (7, 0, 3, False)]
+    assert [(r.vec_id, r.group_id, r.group_size, r.n_links, r.keep) for r in rows] == [(0, 0, 3, 0, True), (1, 0, 3, 0, False), (7, 0, 3, 0, False)]
     assert itq.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         itq.near_duplicates(spark.createDataFrame([], SCHEMA), bits=65)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no folder (tests, single machines); a cluster names its shared folder in spark.checkpoint.dir.
+#: Used where a local session names no folder; a cluster names its shared folder in spark.checkpoint.dir.
 _OWN_DIR = "/tmp/tonelake-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, as the session has it; set only where it is unset."""
+    """The folder of spark.checkpoint.dir, as the session has it; where it is unset, one of this machine if the master is local, else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(_OWN_DIR)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -45,6 +48,11 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None) -> None:
             own.remove(path)
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """The paths of the tables that ``written`` made for this application and that are still there."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
 def path_of(df: DataFrame) -> str:
     """The folder of a table that ``written`` returned."""
     first = df.inputFiles()

@@ -100,16 +100,18 @@ def near_duplicates(
     rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", *, bits: int = BITS, tables: int = TABLES, flips: int = FLIPS, radius: int = RADIUS,
     threshold: float = THRESHOLD, iterations: int = ITERATIONS, seed: int = SEED,
 ) -> DataFrame:
-    """(vec_id, group_id, group_size, keep) for every row that is in a group of two or more."""
+    """(vec_id, group_id, group_size, n_links, keep) for every row that is in a group of two or more; n_links: how many other distinct vectors, of the candidates, are near-duplicates of its own."""
     kind = rows.schema[vec_id].dataType
     if bits > 64:
         raise ValueError("codes have 64 bits at most")
     table, d = vector_table(rows, vec_id, embedding, unit=True)
     if not d:
-        return rows.sparkSession.createDataFrame([], T.StructType([T.StructField("vec_id", kind), T.StructField("group_id", kind), T.StructField("group_size", T.LongType()), T.StructField("keep", T.BooleanType())]))
+        return rows.sparkSession.createDataFrame([], T.StructType([T.StructField("vec_id", kind), T.StructField("group_id", kind), T.StructField("group_size", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("keep", T.BooleanType())]))
     names = table.select("id", F.xxhash64("vec").alias("node")).distinct()
     nodes = written(table.groupBy(F.xxhash64("vec").alias("node")).agg(F.first("vec").alias("vec")), "nodes")
     pairs = near_pairs(nodes, d, bits=bits, tables=tables, flips=flips, radius=radius, threshold=threshold, iterations=iterations, seed=seed)
-    grouped = names.join(connected_components(pairs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = written(pairs.select("a", "b"), "pairs")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    grouped = names.join(connected_components(pairs).join(links, "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
-    return grouped.join(first, "root").select(F.col("id").alias("vec_id"), F.col("first.id").alias("group_id"), "group_size", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("keep"))
+    return grouped.join(first, "root").select(F.col("id").alias("vec_id"), F.col("first.id").alias("group_id"), "group_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("keep"))

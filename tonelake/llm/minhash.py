@@ -11,7 +11,7 @@ equal signatures are one node of the forest. A candidate pair is a near-duplicat
 similarity is at least ``threshold``: the share of all ``perms`` values whose low bytes agree, less what agrees by chance; groups are the
 connected components.
 
-Cases: a document without words (null, empty or punctuation only) is in no group and is kept. Rows with equal id and text are one
+Cases: an empty table gives an empty result. Texts are read whole, however long. A document without words (null, empty or punctuation only) is in no group and is kept. Rows with equal id and text are one
 document. Rows with equal id and different texts are different documents. Null ids are allowed. The document kept of each group is the one
 with the least id (null counts as the least), on ties the least text hash. Columns besides id and text are ignored, whatever their names.
 """
@@ -168,19 +168,20 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, perms: int = PERMS, trees: int = TREES, depths: tuple[int, ...] = DEPTHS,
     region: int = REGION, threshold: float = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED,
 ) -> DataFrame:
-    """(doc_id, key, group_id, group_size, keep) for every document that is in a group of two or more; the others are not listed.
+    """(doc_id, key, group_id, group_size, n_links, keep) for every document that is in a group of two or more; the others are not listed.
 
-    group_id is the id of the group's kept document; key is xxhash64(id, text), which tells apart rows with the same id.
+    n_links: how many other signatures, of the candidates that were compared, are near-duplicates of the document's own; copies with equal signatures are told by the group. group_id is the id of the group's kept document; key is xxhash64(id, text), which tells apart rows with the same id.
     """
     table = written(signature_table(docs, doc_id, text, perms, shingle, seed), "signatures")
     sigs = written(table.groupBy("sig_hash").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "forest")  # equal hash, equal signature: any will do
-    pairs = verified(forest_candidates(sigs, perms, trees, depths, region), sigs, perms, threshold)
-    roots = connected_components(pairs).withColumnsRenamed({"node": "sig_hash"})
+    pairs = written(verified(forest_candidates(sigs, perms, trees, depths, region), sigs, perms, threshold).select("a", "b"), "pairs")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("sig_hash")).groupBy("sig_hash").agg(F.count("*").alias("n_links"))
+    roots = connected_components(pairs).withColumnsRenamed({"node": "sig_hash"}).join(links, "sig_hash")
     names = table.select("id", "key", "sig_hash").distinct()
-    grouped = names.join(roots, "sig_hash", "left").select("id", "key", F.coalesce("root", "sig_hash").alias("root"))
+    grouped = names.join(roots, "sig_hash", "left").select("id", "key", F.coalesce("root", "sig_hash").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     first = grouped.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
     return grouped.join(first, "root").select(
-        F.col("id").alias("doc_id"), "key", F.col("first.id").alias("group_id"), "group_size", (F.col("key") == F.col("first.key")).alias("keep")
+        F.col("id").alias("doc_id"), "key", F.col("first.id").alias("group_id"), "group_size", "n_links", (F.col("key") == F.col("first.key")).alias("keep")
     )
 
 
