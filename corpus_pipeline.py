@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm import bpe, langid, minhash, mixing
-from tonelake.llm.common import written
+from tonelake.llm.common import drop_written, path_of, tables, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are a written table; what earlier stages wrote is deleted as soon as the next table is there. The last stage's result reads the last table."""
+    before = set(tables(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            drop_written(spark, [p for p in tables(spark) if p not in before and p != path_of(docs)])
     return docs
