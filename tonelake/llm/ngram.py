@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import doc_key, drop_written, lists, path_of, written
 from .words import mix, word_hashes
 
-SHARD_WORDS, PRIOR, VOCABULARY_SIZE, BLOCK_WORDS, RANGE_ASKS = 1 << 20, 4.0, 1 << 20, 1 << 21, 3 << 20
+SHARD_WORDS, PRIOR, VOCABULARY_SIZE, BLOCK_WORDS, RANGE_ASKS = 1 << 20, 4.0, 1 << 20, 1 << 19, 3 << 20
 _MOST_QUERY_BYTES = 64 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -408,6 +408,36 @@ class Deep:
         self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])[by]
         self.next()
 
+    def settle(self, total: int, prior: float, vocabulary: int) -> None:
+        """Adds up the positions whose counts are final, and lets go of the places that no open string and no other position needs."""
+        s, size = self.s, len(self.doc)
+        if not size:
+            return
+        n, closed = s["n"], np.ones(size, bool)
+        closed[self.place] = False
+        i = np.flatnonzero(self.todo)
+        i = i[closed[i] & closed[i - 1]]  # the place before is there
+        p0 = unigram(self.single[i], total - (n + 1)[self.doc[i]], prior, vocabulary)
+        s["bits"] = s["bits"] + np.bincount(self.doc[i], cost(self.length[i], self.count[i], self.length[i - 1], self.count[i - 1], p0, prior), len(n))
+        s["context"] = s["context"] + np.bincount(self.doc[i], self.length[i - 1], len(n))
+        start = np.flatnonzero(changes(self.doc))
+        s["top"][self.doc[start]] = np.maximum(s["top"][self.doc[start]], np.maximum.reduceat(self.length, start))
+        self.todo[i] = False
+        # strings between two lengths lie within the longer one, others within the row of places
+        edge = np.zeros(size + 1, np.int64)
+        np.add.at(edge, np.maximum(self.place - np.where(self.b > 0, self.b + 2, self.run[self.place] + 2), 0), 1)
+        np.add.at(edge, self.place + 1, -1)
+        keep = (np.cumsum(edge[:-1]) > 0) | self.todo
+        keep[:-1] |= self.todo[1:]
+        if keep.mean() > 0.75:
+            return
+        number = np.cumsum(keep) - 1
+        self.place = number[self.place]
+        near = self.near & np.concatenate([[False], keep[:-1]])
+        for k in ("word", "doc", "todo", "length", "count", "single"):
+            setattr(self, k, getattr(self, k)[keep])
+        self.near = near[keep]
+
     def state(self) -> bytes:
         keep = {k: self.s[k] for k in ("n", "weight", "vocab", "bits", "context", "top")}
         return pack(**keep, **{k: getattr(self, k) for k in self.KEYS})
@@ -455,18 +485,6 @@ def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], tota
     return Deep(deep)
 
 
-def finish(s: dict[str, np.ndarray], total: int, prior: float, vocabulary: int) -> tuple[np.ndarray, ...]:
-    """Of each document: words, bits, longest match, summed length of contexts."""
-    n, i, doc = s["n"].astype(np.int64), np.flatnonzero(s["todo"]), s["doc"]  # the place before is there
-    length, count = s["length"].astype(np.int64), s["count"].astype(np.int64)
-    p0 = unigram(s["single"][i], total - (n + 1)[doc[i]], prior, vocabulary)
-    bits = s["bits"] + np.bincount(doc[i], cost(length[i], count[i], length[i - 1], count[i - 1], p0, prior), len(n))
-    context = s["context"] + np.bincount(doc[i], length[i - 1], len(n))
-    top = s["top"].astype(np.int64)
-    np.maximum.at(top, doc, length)
-    return n, bits, top, context
-
-
 def _blocks(block_words: int):
     """Texts (a, b, weight, text) as blocks of at most block_words words; a longer text is a block of its own."""
 
@@ -563,7 +581,8 @@ def score_documents(
                 deep = Deep(own)
                 deep.answer(deep.asks.totals(ranges, cells))
             open_, sent = len(deep.place), list(deep.asks.sent(after_ranges))
-            data = deep.state() if open_ else pack(**dict(zip(("n", "bits", "top", "context"), finish(unpack(deep.state()), total, prior, vocabulary), strict=True)))
+            deep.settle(total, prior, vocabulary)
+            data = deep.state() if open_ else pack(**{k: deep.s[k] for k in ("n", "bits", "top", "context")})
             s = s.set_column(2, "open", pa.array([open_], pa.int64())).set_column(4, "cell", pa.array([data], pa.binary()))
             n, none = len(sent), lambda kind: pa.nulls(len(sent), kind)
             cells = [pa.array([s["block"][0].as_py()] * n, pa.int64()), pa.array([r for r, _ in sent], pa.int32()), none(pa.int64()), none(pa.int64()), pa.array([c for _, c in sent], pa.binary()), none(s.schema.field("h1").type), none(s.schema.field("h2").type)]
@@ -581,7 +600,7 @@ def score_documents(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                n, bits, top, context = unpack(batch.column(2)[i].as_py()).values()
+                n, bits, top, context = unpack(batch.column(2)[i].as_py()).values()  # at least one word each
                 cells = [batch.column(0)[i].values, batch.column(1)[i].values, pa.array(n), pa.array(bits), pa.array(bits / n), pa.array(top.astype(np.int32)), pa.array(context / n)]
                 yield pa.RecordBatch.from_arrays(cells, names=["h1", "h2", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"])
 
