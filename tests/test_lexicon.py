@@ -59,3 +59,16 @@ def test_modifiers_longer_than_their_window():
 def test_segment(raw, want):
     words = frozenset(["太好了", "非常棒", "不好", "非常", "一二三四五"])
     assert L.segment(list(raw), words) == want
+
+
+def test_phrase_files(tmp_path):
+    from tonelake import lexicon
+
+    path = tmp_path / "es-intensifiers.tsv"
+    path.write_text("# said strongly\n\nmuy\t1.5\nde verdad\nbastante\tnot a number\n")
+    rows = lexicon.read_phrases(str(path), "intensifier")
+    assert rows == (("muy", "es", "intensifier", 1.5), ("de verdad", "es", "intensifier", None), ("bastante", "es", "intensifier", None))
+    more = lexicon.builtin().with_phrases((("zzz top", "es", "intensifier", 2.0),)).role("intensifier")
+    assert ("zzz", "top") in more.phrases and more.factors["zzz top"] == 2.0
+    with pytest.raises(lexicon.LexiconError):
+        lexicon.parse_phrases("x", "", "negation")

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tonelake.operators import coverage, extract, mining, models, usage
+from tonelake.operators import coverage, extract, fixtures, mining, models, usage
 from tonelake.operators.wordpiece import WordPiece, encode
 from tonelake.sources import logs, sinks
 
@@ -193,3 +193,55 @@ def test_calendar_and_words(spark):
     assert {(r.kind, r.key): r.n for r in usage.calendar(df, "ts").collect()} == {("day", "2026-01-02"): 1, ("weekday", "Friday"): 1, ("hour", "03"): 1, ("day", "unknown"): 1, ("weekday", "unknown"): 1, ("hour", "unknown"): 1}
     w = spark.createDataFrame([("Está la CASA y la casa_2 ab",)], "t string").select(usage.words(F.col("t"), usage.STOP_A).alias("w")).first().w
     assert w == ["casa", "casa_2"]
+
+
+def test_paths_are_pruned_before_files_are_opened(spark, tmp_path):
+    for name in ("p1/a.jsonl", "p1/subagents/b.jsonl", "p2/c.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('{"x": 1}\n\n{"x": 2}\n')
+    got = logs.lines(spark, str(tmp_path), path_pattern="p1")
+    assert [r.line for r in got.orderBy("at").collect()] == ['{"x": 1}', '{"x": 2}']
+    got.collect()
+    scan = got._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().get("numFiles").get().value() == 1
+
+
+def test_usage_report(spark):
+    sessions = spark.createDataFrame([("a", 3, "2026-01-01", "2026-01-02"), ("b", 5, "2025-12-31", None), (None, None, None, None)], "project string, n long, created string, modified string")
+    counters = spark.createDataFrame([("s1", "tool", "shell", 2), ("s2", "tool", "shell", 1), ("s1", "tool", "edit", 3), ("s1", "url", "x.y", 1)], "path string, kind string, key string, n long")
+    text = usage.report("Usage", sessions, counters, ["n"], k=1)
+    assert text == "# Usage\n\n- Sessions: 3\n- Projects: 2\n- From: 2025-12-31\n- To: 2026-01-02\n- n: 8 in all, median 4.0, mean 4.0\n\n## tool\n- `edit`: 3\n\n## url\n- `x.y`: 1\n"
+    assert usage.overview(sessions.limit(0), numbers=["n"]).collect()[0].asDict() == {"n_sessions": 0, "n_projects": 0, "first_created": None, "last_modified": None, "total_n": None}
+
+
+def test_context_stats(spark):
+    rows = spark.createDataFrame([(f"s{i % 7}", f"/x/code/p{i % 12}/y") for i in range(36)] + [(None, "/none")], "source string, cwd string")
+    got = mining.context_stats(rows, "source", "cwd").collect()
+    assert ("total", "messages", 37) in got and len([r for r in got if r.kind == "source"]) == 5 and len([r for r in got if r.kind == "project"]) == 10
+    assert ("source", "s0", 6) in got and mining.context_stats(rows.limit(0), "source", "cwd").count() == 0
+
+
+def test_calendar_is_utc(spark):
+    df = spark.sql("SELECT timestamp'2026-01-04 23:30:00Z' AS ts UNION ALL SELECT null")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert {(r.kind, r.key) for r in usage.calendar(df, "ts").collect()} == {("day", "2026-01-04"), ("weekday", "Sunday"), ("hour", "23"), ("day", "unknown"), ("weekday", "unknown"), ("hour", "unknown")}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_model_helpers(tmp_path):
+    assert models.model_location(["a", "b"], [str(tmp_path)]) is None
+    (tmp_path / "b").write_text("")
+    assert models.model_location(["a", "b"], [str(tmp_path / "none"), str(tmp_path)]) == (str(tmp_path / "b"), None)
+    (tmp_path / "tokenizer").mkdir()
+    assert models.model_location(["a", "b"], [str(tmp_path)]) == (str(tmp_path / "b"), str(tmp_path / "tokenizer"))
+    assert models.answer_schema()["required"] == ["meanScore"] and models.answer_schema()["additionalProperties"] is False
+
+
+def test_fixtures_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "text": "x"},\n {"id": "2", "text": null}]')
+    (tmp_path / "b.json").write_text('{"id": "3",\n "text": "é"}')
+    assert {tuple(r) for r in fixtures.read(spark, str(tmp_path), "id string, text string").collect()} == {("1", "x"), ("2", None), ("3", "é")}

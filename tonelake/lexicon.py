@@ -6,6 +6,7 @@ A lexicon is small and lives on the driver; operators embed it in their plans as
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Sequence
@@ -144,6 +145,29 @@ def read_dictionary(path: str) -> Dictionary:
         return parse_dictionary(f.read())
 
 
+def parse_phrases(content: str, lang: str, role: str) -> tuple[tuple[str, str, str, float | None], ...]:
+    """Modifier rows (phrase, language, role, factor) from text: a phrase a line, and after a tab, if it is a number, its factor. Blank lines and those that begin with # are skipped."""
+    if not lang:
+        raise LexiconError("missing_language")
+    out = []
+    for line in map(str.strip, content.splitlines()):
+        if not line or line.startswith("#"):
+            continue
+        phrase, _, rest = line.partition("\t")
+        try:
+            factor = float(rest.split("\t")[0].strip())
+        except ValueError:
+            factor = None
+        out.append((phrase.strip(), lang, role, factor if factor is not None and math.isfinite(factor) else None))
+    return tuple(out)
+
+
+def read_phrases(path: str, role: str) -> tuple[tuple[str, str, str, float | None], ...]:
+    """The phrases of a file whose name begins with its language, as in ``es-negation.tsv``."""
+    with open(path, encoding="utf-8") as f:
+        return parse_phrases(f.read(), re.split(r"[-_.]", os.path.basename(path))[0], role)
+
+
 def insert(dictionary: Dictionary, text: str, score: float) -> Dictionary:
     """The dictionary with one more expression at its end; an error if it is there already, or the language isn't a built-in one."""
     if dictionary.lang not in LANGUAGES:
@@ -197,6 +221,10 @@ class Lexicon:
         """With users' dictionaries after the others; their entries match in every language."""
         return Lexicon((*self.entries, *(e for d in dictionaries for e in d.rows(any_lang=True))), self.modifiers, self.words)
 
+    def with_phrases(self, rows: Iterable[tuple[str, str, str, float | None]]) -> Lexicon:
+        """With more modifier phrases, as ``read_phrases`` gives them."""
+        return Lexicon(self.entries, (*self.modifiers, *rows), self.words)
+
 
 def _table(name: str) -> list[list[str]]:
     return [line.split("\t") for line in (files("tonelake") / "data" / name).read_text(encoding="utf-8").splitlines()[1:]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lexicon import TYPES
@@ -29,6 +29,12 @@ def suggested(rows: DataFrame, text: str = "text", lang: str | None = None) -> D
     return rows.select(F.concat(own, F.lit("-"), category(), F.lit("-001")).alias("id"), F.col(text).alias("text"), own.alias("language"), *texts, _cents(F.col("score") - MARGIN).alias("expected_score_min"), _cents(F.col("score") + MARGIN).alias("expected_score_max"))
 
 
+def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Fixtures from JSON files, each an array of objects or one object. Without a schema it is inferred; a file that isn't JSON is an error."""
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def as_json(fixtures: DataFrame) -> DataFrame:
     """One JSON object a row, keys in order."""
     return fixtures.select(F.to_json(F.struct(*sorted(fixtures.columns))).alias("json"))

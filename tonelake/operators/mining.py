@@ -77,6 +77,17 @@ def project(cwd: Column) -> Column:
     return F.coalesce(F.when(F.array_position(parts, "code") > 0, F.try_element_at(parts, (F.array_position(parts, "code") + 1).cast("int"))), F.lit("unknown"))
 
 
+def context_stats(messages: DataFrame, source: str, cwd: str, top_sources: int = 5, top_projects: int = 10) -> DataFrame:
+    """(kind, key, n): the total, then the most frequent sources and projects; ties go to the least key, a null source is unknown."""
+    each = F.array(
+        F.struct(F.lit("total").alias("kind"), F.lit("messages").alias("key")), F.struct(F.lit("source").alias("kind"), F.coalesce(source, F.lit("unknown")).alias("key")), F.struct(F.lit("project").alias("kind"), project(F.col(cwd)).alias("key"))
+    )
+    n = messages.select(F.explode(each).alias("x")).groupBy("x").agg(F.count("*").alias("n")).select("x.kind", "x.key", "n")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
+    most = F.when(F.col("kind") == "source", top_sources).when(F.col("kind") == "project", top_projects).otherwise(1)
+    return n.withColumn("__r", place).where(F.col("__r") <= most).drop("__r")
+
+
 def report(hits: DataFrame, n_messages: int) -> str:
     """Markdown, by bucket, the most frequent first. hits are as many as there are rules."""
     rows = sorted(hits.collect(), key=lambda r: (BUCKETS.index(r.bucket), -r.n, r.phrase))

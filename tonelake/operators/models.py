@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
@@ -33,6 +34,22 @@ class SessionScorer(Protocol):
     def __call__(self, instructions: str, prompt: str) -> str: ...
 
 
+def answer_schema() -> dict[str, object]:
+    """The strict JSON schema of an answer, for providers that take one: an object with just meanScore, within the scale."""
+    score = {"type": "number", "minimum": -2.0, "maximum": 2.0}
+    return {"type": "object", "properties": {"meanScore": score}, "required": ["meanScore"], "additionalProperties": False}
+
+
+def model_location(names: Sequence[str], roots: Sequence[str], tokenizer: str = "tokenizer") -> tuple[str, str | None] | None:
+    """The first of the names that is in one of the roots, and the tokenizer folder beside it, null without one; names are tried in order, each in all roots. Null where there is no model."""
+    for name in names:
+        for root in map(Path, roots):
+            if (found := root / name).exists():
+                beside = root / tokenizer
+                return str(found), str(beside) if beside.is_dir() else None
+    return None
+
+
 def size_error(n_messages: Column, n_characters: Column, policy: LLMScoringPolicy) -> Column:
     """too_many_messages, input_too_large or null."""
     return F.when(n_messages > policy.max_messages, "too_many_messages").when(n_characters > policy.max_characters, "input_too_large")

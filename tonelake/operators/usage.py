@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import stripped
 from ..sources.logs import ORDER
+from ..sources.sinks import markdown
 
 TOPICS_A = {
     "bbedit": r"\bbbedit\b", "blog": r"draft|borrador|art[ií]culo|post|\bblog\b", "claude": r"\bclaude\b", "codex": r"\bcodex\b", "ghostty": r"ghostt[iy]", "linear": r"ticket|backlog|issue|\blinear\b",
@@ -60,8 +61,10 @@ def histogram(df: DataFrame, list_column: Column, key: str) -> DataFrame:
 
 
 def calendar(df: DataFrame, ts: str) -> DataFrame:
-    """(kind, key, n) for day, weekday and hour, in the session's time zone (UTC is meant); null times are unknown."""
+    """(kind, key, n) for day, weekday and hour in UTC, whatever the session's time zone; null times are unknown."""
     t = F.col(ts)
+    if dict(df.dtypes)[ts] == "timestamp":
+        t = F.convert_timezone(None, F.lit("UTC"), t.cast("timestamp_ntz"))
     each = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(F.date_format(t, f), F.lit(UNKNOWN)).alias("key")) for k, f in (("day", "yyyy-MM-dd"), ("weekday", "EEEE"), ("hour", "HH"))))
     return df.select(F.explode(each).alias("x")).groupBy("x").agg(F.count("*").alias("n")).select("x.kind", "x.key", "n")
 
@@ -162,6 +165,24 @@ def session_shape(sessions: DataFrame, columns: Sequence[str]) -> DataFrame:
     return sessions.agg(F.count("*").alias("n_sessions"), *(f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("total", F.sum), ("median", F.median), ("mean", F.avg))))
 
 
+def overview(sessions: DataFrame, place: str = "project", numbers: Sequence[str] = (), created: str = "created", modified: str = "modified") -> DataFrame:
+    """One row: n_sessions, n_projects (distinct values of ``place``, empty ones too, null not), the earliest start, the latest change, and the totals of the numbers. Nulls of no session: null."""
+    return sessions.agg(F.count("*").alias("n_sessions"), F.count_distinct(place).alias("n_projects"), F.min(created).alias("first_created"), F.max(modified).alias("last_modified"), *(F.sum(c).alias(f"total_{c}") for c in numbers))
+
+
+def report(title: str, sessions: DataFrame, counters: DataFrame, numbers: Sequence[str], *, place: str = "project", created: str = "created", modified: str = "modified", k: int = 10) -> str:
+    """Markdown: totals, dates, medians and means, then the k most frequent keys of each kind of counter. Only one row of numbers and k keys a kind come to the driver."""
+    row = overview(sessions, place, numbers, created, modified).first()
+    shape = session_shape(sessions, numbers).first()
+    facts = {"Sessions": row["n_sessions"], "Projects": row["n_projects"], "From": row["first_created"], "To": row["last_modified"]}
+    for c in numbers:
+        facts[c] = f"{row[f'total_{c}'] or 0} in all, median {shape[f'median_{c}']}, mean {shape[f'mean_{c}']}"
+    sections: dict[str, list[tuple[str, int]]] = {}
+    for r in sorted(merged(counters, k).collect(), key=lambda r: (r.kind, -r.n, r.key)):
+        sections.setdefault(r.kind, []).append((f"`{r.key}`", r.n))
+    return markdown(title, facts, sections)
+
+
 def in_order(sessions: DataFrame, *times: str) -> DataFrame:
     """Sessions by the first of the times that they have; those without come first."""
     return sessions.orderBy(F.coalesce(*times).asc_nulls_first())

@@ -183,6 +183,26 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (role <> 'user') AS tool_calls, coalesce(max((turn + 1) * 100) FILTER (role IN ('user', 'assistant')), 0) AS input_tokens, coalesce(max(turn + 1) FILTER (role IN ('user', 'assistant')), 0) AS output_tokens FROM conversations GROUP BY conv_id""",
         "codex_counters": f"""WITH t AS ({_opened(q.TALK)}), c AS (SELECT 'tool' AS kind, 'shell' AS key FROM t WHERE role <> 'user' UNION ALL SELECT 'topic', unnest({_topics("text", usage.TOPICS_B)}) FROM t WHERE role = 'user' UNION ALL SELECT 'url', unnest({_HOSTS.format("text")}) FROM t WHERE role = 'user')
             SELECT kind, key, count(*) AS n FROM c WHERE key <> '' GROUP BY ALL""",
+        "usage_overview": f"""{_sessions()} SELECT count(*) AS n_sessions, count(DISTINCT conv_id % 5) AS n_projects, min(1700000000 + conv_id * 3600 + lo * 60) AS first_s, max(1700000000 + conv_id * 3600 + hi * 60) AS last_s,
+            CAST(sum(message_count) AS BIGINT) AS total_message_count, CAST(sum(tool_uses) AS BIGINT) AS total_tool_uses FROM g""",
+        "context_stats": rf"""WITH t AS (SELECT *, {_strip("text")} AS c FROM ({_opened(q.TALK)}) WHERE role <> 'assistant'), k AS (SELECT * FROM t WHERE length(c) >= 8 AND c NOT LIKE '/%' AND NOT regexp_matches(c, '^<(local-command-(caveat|stdout|stderr)|task-notification)>')),
+            n AS (SELECT 'total' AS kind, 'messages' AS key, count(*) AS n FROM k HAVING count(*) > 0 UNION ALL SELECT 'source', CASE WHEN role = 'user' THEN 'user' ELSE 'queue-operation' END AS key, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'project', 'p' || (conv_id % 7) AS key, count(*) FROM k GROUP BY 2)
+            SELECT kind, key, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS r FROM n) WHERE r <= CASE kind WHEN 'source' THEN 5 WHEN 'project' THEN 10 ELSE 1 END""",
+        "tolerant_records": """SELECT 'f' || conv_id AS session_id, turn, 'p' || (conv_id % 5) AS project, CASE WHEN (conv_id + turn) % 9 = 7 THEN 'summary' ELSE 'user' END AS type, (conv_id + turn) % 9 = 6 AS is_meta,
+            CASE WHEN (conv_id + turn) % 9 IN (0, 6) THEN 'said at turn ' || turn END AS content FROM conversations WHERE (conv_id + turn) % 9 IN (0, 5, 6, 7)""",
+        "kept_messages": "SELECT 'f' || conv_id AS session_id, turn, 'said at turn ' || turn AS content FROM conversations WHERE (conv_id + turn) % 9 = 0",
+        "session_index": """SELECT 'file:/l/p' || (conv_id % 6) || '/s' || conv_id || '.jsonl' AS path, 's' || conv_id AS session_id, CASE WHEN conv_id % 5 <> 3 THEN 'sum s' || conv_id END AS summary FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 6 <> 5 AND conv_id % 5 <> 4""",
+        "codex_threads": """SELECT 'c' || conv_id AS session_id, CASE WHEN max(turn) % 4 = 3 THEN '' ELSE 'thread ' || max(turn) END AS thread_name FROM conversations WHERE conv_id % 3 <> 0 AND turn % 5 <> 2 GROUP BY conv_id""",
+        "codex_folders": "SELECT DISTINCT 'c' || conv_id AS session_id, '/w/' || (conv_id % 4) AS cwd FROM conversations",
+        "codex_messages": rf"""WITH t AS (SELECT *, {_strip("text")} AS c, {_log_language("text")} AS language FROM ({_opened(q.TALK)}) WHERE role = 'user'),
+            h AS (SELECT conv_id, CASE WHEN max(turn) % 4 = 3 THEN '' ELSE 'thread ' || max(turn) END AS name FROM conversations WHERE conv_id % 3 <> 0 AND turn % 5 <> 2 GROUP BY conv_id),
+            m AS (SELECT 0 AS part, 'history' AS source, *, turn % 4 <> 0 AS known FROM t WHERE turn % 6 <> 2 UNION ALL SELECT 1, 'session_event', *, true FROM t)
+            SELECT CAST(part AS INT) AS part, CASE WHEN known THEN 'c' || conv_id ELSE 'elsewhere' END AS session_id, CASE WHEN known THEN coalesce(name, '') ELSE '' END AS thread_name, source, CASE WHEN known THEN '/w/' || (conv_id % 4) ELSE '' END AS cwd, language,
+                   count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS n_chars FROM m LEFT JOIN h USING (conv_id) WHERE length(c) >= 12 GROUP BY ALL""",
+        "rate_limiter": """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+            a(event_type, r, taken) AS (SELECT event_type, r, [t] FROM e WHERE r = 1
+                UNION ALL SELECT a.event_type, n.r, list_append(a.taken, n.t)[-10:] FROM a, LATERAL (SELECT min(e.r) AS r, arg_min(e.t, e.r) AS t FROM e WHERE e.event_type = a.event_type AND e.r > a.r AND (len(a.taken) < 10 OR e.t > a.taken[1] + 60000000)) n WHERE n.r IS NOT NULL)
+            SELECT event_id, event_type, CASE WHEN a.r IS NOT NULL THEN 'ok' ELSE 'rate_limited' END AS status FROM e LEFT JOIN a USING (event_type, r)""",
         "suggested_fixtures": f"""{final}, l AS (SELECT {_K}, {lists} FROM final LEFT JOIN visible USING ({_K}) GROUP BY {_K})
             SELECT coalesce(lang, 'en') || '-' || CASE WHEN expected_profanity <> '' AND (expected_frustration <> '' OR expected_positive <> '') THEN 'mixed' WHEN expected_profanity <> '' THEN 'profanity' WHEN expected_frustration <> '' AND expected_positive <> '' THEN 'mixed'
                    WHEN expected_frustration <> '' THEN 'frustration' WHEN expected_positive <> '' THEN 'positive' ELSE 'neutral' END || '-001' AS id, text, coalesce(lang, 'en') AS language, expected_profanity, expected_frustration, expected_positive,

@@ -263,6 +263,76 @@ def codex_counters(s: SparkSession, d: str) -> DataFrame:
     return usage.merged(usage.codex_counters(past, logs.codex_rollouts(logs.parsed(codex_lines(s, d), strict=True))))
 
 
+def usage_overview(s: SparkSession, d: str) -> DataFrame:
+    rows = usage.overview(usage.claude_sessions(_claude(s, d)), numbers=["message_count", "tool_uses"])
+    return rows.select("n_sessions", "n_projects", F.unix_timestamp("first_created").alias("first_s"), F.unix_timestamp("last_modified").alias("last_s"), "total_message_count", "total_tool_uses")
+
+
+def context_stats(s: SparkSession, d: str) -> DataFrame:
+    return mining.context_stats(extract.claude_messages(_claude(s, d), include_queue_ops=True), "source_type", "cwd")
+
+
+def planted_lines(s: SparkSession, d: str) -> DataFrame:
+    """A line for each turn of which some are broken, no objects, blank, or objects with list contents, meta or summary lines."""
+    t = _table(s, d, "conversations")
+    user = lambda content, meta: F.to_json(F.struct(F.lit("user").alias("type"), F.lit(meta).alias("isMeta"), F.struct(F.lit("user").alias("role"), content.alias("content")).alias("message")))
+    said = F.concat(F.lit("said at turn "), F.col("turn").cast("string"))
+    kinds = [user(said, False), F.lit('{"type": "user", "message": '), F.lit("[1, 2]"), F.lit("17"), F.lit("null"), user(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))), False), user(said, True), F.lit('{"type": "summary", "summary": "s"}'), F.lit('"text"')]
+    line = F.element_at(F.array(*kinds), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(kinds))).cast("int") + 1)
+    return t.select(F.concat(F.lit("/l/p"), F.pmod("conv_id", F.lit(5)).cast("string"), F.lit("/f"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.lit(0).cast("long").alias("block"), F.col("turn").alias("at"), line.alias("line"))
+
+
+def tolerant_records(s: SparkSession, d: str) -> DataFrame:
+    """What the tolerant decoder keeps of planted lines; a file without a session id goes by its name."""
+    r = logs.claude_records(logs.parsed(planted_lines(s, d)))
+    return r.select("session_id", F.col("at").alias("turn"), "project", "type", "is_meta", "content")
+
+
+def kept_messages(s: SparkSession, d: str) -> DataFrame:
+    """Messages of planted lines: neither meta lines nor list contents."""
+    return extract.claude_messages(logs.claude_records(logs.parsed(planted_lines(s, d)))).select("session_id", F.col("at").alias("turn"), "content")
+
+
+def session_index(s: SparkSession, d: str) -> DataFrame:
+    """A session for each conversation: some are in the index under their own path, some under a stale one, some only in the folder, some only in the index, and some in a folder without index."""
+    c = _table(s, d, "conversations").select("conv_id").distinct()
+    folder = F.concat(F.lit("/l/p"), F.pmod("conv_id", F.lit(6)).cast("string"))
+    name, kind = F.concat(F.lit("s"), F.col("conv_id").cast("string")), F.pmod("conv_id", F.lit(5))
+    own = F.concat(folder, F.lit("/"), name, F.lit(".jsonl"))
+    entry = c.where((F.pmod("conv_id", F.lit(6)) != 5) & (kind != 3))
+    index = entry.select(folder.alias("folder"), name.alias("session_id"), F.when(kind == 1, F.concat(F.lit("/moved/"), name)).otherwise(own).alias("full_path"), F.lit(None).cast("timestamp").alias("created"), F.lit(None).cast("timestamp").alias("modified"), F.concat(F.lit("sum "), name).alias("summary"), F.lit("").alias("first_prompt"))
+    listing = c.where(kind != 4).select(F.concat(F.lit("file:"), own).alias("path"))
+    return logs.resolve_sessions(index, listing).select("path", "session_id", "summary")
+
+
+def _codex_index(s: SparkSession, d: str) -> DataFrame:
+    """Thread lines: two or more for a session, one without a name, some broken."""
+    t = _table(s, d, "conversations")
+    sid = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    good = F.to_json(F.struct(sid.alias("id"), F.when(F.pmod("turn", F.lit(4)) != 3, F.concat(F.lit("thread "), F.col("turn").cast("string"))).alias("thread_name")))
+    line = F.when(F.pmod("turn", F.lit(5)) == 2, "{broken").otherwise(good)
+    return logs.codex_threads(logs.parsed(t.where("conv_id % 3 <> 0").select(F.lit("/i").alias("path"), F.lit(0).cast("long").alias("block"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), line.alias("line"))))
+
+
+def codex_threads(s: SparkSession, d: str) -> DataFrame:
+    return _codex_index(s, d).select("session_id", "thread_name")
+
+
+def codex_folders(s: SparkSession, d: str) -> DataFrame:
+    return logs.session_folders(logs.codex_rollouts(logs.parsed(codex_lines(s, d), strict=True)))
+
+
+def codex_messages(s: SparkSession, d: str) -> DataFrame:
+    """Prompts of a history and user messages of rollouts, with thread names and folders; some prompts are of sessions without a rollout, some lines are broken."""
+    t = opened(s, d, TALK).where("role = 'user'")
+    known = F.when(F.pmod("turn", F.lit(4)) == 0, "elsewhere").otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    line = F.when(F.pmod("turn", F.lit(6)) == 2, "{").otherwise(F.to_json(F.struct(known.alias("session_id"), F.lit("17").alias("ts"), F.col("text"))))
+    past = logs.parsed(t.select(F.lit("/h").alias("path"), F.lit(0).cast("long").alias("block"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), line.alias("line")))
+    rollouts = logs.codex_rollouts(logs.parsed(codex_lines(s, d), strict=True))
+    rows = extract.codex_messages(past, rollouts, _codex_index(s, d), logs.session_folders(rollouts), min_length=12)
+    return rows.groupBy("part", "session_id", "thread_name", "source", "cwd", "language").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"))
+
+
 def suggested_fixtures(s: SparkSession, d: str) -> DataFrame:
     f = fixtures.suggested(_analysed(s, d).withColumn("known", F.coalesce("language", F.lit("en"))), lang="known")
     return f.select("id", "text", "language", *(F.array_join(f"expected_{t}", ",").alias(f"expected_{t}") for t in TYPES), "expected_score_min", "expected_score_max")
@@ -320,6 +390,6 @@ def queries() -> dict[str, Query]:
     own = [
         tokens_fold, keyword_matches, keyword_matches_join, rule_effects, message_score, document_score, visible_expressions, session_metrics, top_expressions, language_heuristic, language_detect, session_language, dominant_language,
         guard_flags, coverage_phantom, coverage_unconsumed, coverage_summary, rule_mining, topic_hist, slash_hist, url_hosts, word_hist, top_words, calendar_hist, claude_sessions, claude_counters, claude_messages, session_shape,
-        biggest_sessions, codex_sessions, codex_counters, suggested_fixtures, rate_limiter, request_sizes, response_scores, softmax_score, wordpiece_encode, zh_score, lexicon_lint,
+        biggest_sessions, codex_sessions, codex_counters, usage_overview, context_stats, tolerant_records, kept_messages, session_index, codex_threads, codex_folders, codex_messages, suggested_fixtures, rate_limiter, request_sizes, response_scores, softmax_score, wordpiece_encode, zh_score, lexicon_lint,
     ]
     return {q.__name__: q for q in own}

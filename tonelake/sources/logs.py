@@ -18,10 +18,11 @@ def lines(spark: SparkSession, root: str, *, path_pattern: str | None = None, gl
     """(path, block, at, line) of all non-blank lines below root, without sub-agents' files; path_pattern: a part of the path. Both are pruned before files are opened."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
     path = F.col("_metadata.file_path")
-    df = df.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    df = df.where(~F.col("path").contains(SUBAGENTS))
+    df = df.where(~path.contains(SUBAGENTS))
     if path_pattern:
-        df = df.where(F.col("path").contains(path_pattern))
+        df = df.where(path.contains(path_pattern))
+    # filters on the path stand below the line number, else they would not reach the list of files
+    df = df.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     return df.where(F.trim("line") != "")
 
 
