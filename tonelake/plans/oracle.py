@@ -199,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT 0 AS part, 'history' AS source, *, turn % 4 <> 0 AS known FROM t WHERE turn % 6 <> 2 UNION ALL SELECT 1, 'session_event', *, true FROM t)
             SELECT CAST(part AS INT) AS part, CASE WHEN known THEN 'c' || conv_id ELSE 'elsewhere' END AS session_id, CASE WHEN known THEN coalesce(name, '') ELSE '' END AS thread_name, source, CASE WHEN known THEN '/w/' || (conv_id % 4) ELSE '' END AS cwd, language,
                    count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS n_chars FROM m LEFT JOIN h USING (conv_id) WHERE length(c) >= 12 GROUP BY ALL""",
-        "rate_limiter": """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+        "rate_limiter": """WITH RECURSIVE e AS (SELECT event_id, event_type, t, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS r FROM (SELECT *, CAST(epoch_us(ts) // 600000000 AS BIGINT) * 1000000 AS t FROM events)),
             a(event_type, r, taken) AS (SELECT event_type, r, [t] FROM e WHERE r = 1
                 UNION ALL SELECT a.event_type, n.r, list_append(a.taken, n.t)[-10:] FROM a, LATERAL (SELECT min(e.r) AS r, arg_min(e.t, e.r) AS t FROM e WHERE e.event_type = a.event_type AND e.r > a.r AND (len(a.taken) < 10 OR e.t > a.taken[1] + 60000000)) n WHERE n.r IS NOT NULL)
             SELECT event_id, event_type, CASE WHEN a.r IS NOT NULL THEN 'ok' ELSE 'rate_limited' END AS status FROM e LEFT JOIN a USING (event_type, r)""",
