@@ -92,7 +92,7 @@ def test_query_runs(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["warc_capture_summary", "mixing_units"])
+@pytest.mark.parametrize("name", ["ann_all_cells", "warc_capture_summary", "mixing_units"])
 def test_oracle(spark, name):
     import duckdb
 
