@@ -613,3 +613,77 @@ def test_first_splitters_do_not_depend_on_partitions(spark):
         found.append(sharding.splitters(docs, target_bytes=2000))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1]
+
+
+def test_automaton_has_a_limit():
+    texts_ = {"x": [bytes(range(256)) * 2]}
+    with pytest.raises(ValueError):
+        langid.Ppm.train(texts_, order=4)
+    assert langid.Ppm.train(texts_, order=3).langs == ["x"]
+
+
+def brute_pack(ids, block, percentile):
+    """The layout of the module's docstring, value by value."""
+    out, starts = b"", []
+    for i in range(0, len(ids), block):
+        part = ids[i : i + block]
+        least = min(part)
+        rest = [x - least for x in part]
+        w = next(w for w in range(33) if sum(x < 1 << w for x in rest) >= math.ceil(percentile * len(rest)))
+        over = [(k, x >> w) for k, x in enumerate(rest) if x >> w]
+        bits = sum((x & ((1 << w) - 1)) << (k * w) for k, x in enumerate(rest))
+        starts.append(len(out))
+        out += len(part).to_bytes(2, "little") + bytes([w, 0]) + least.to_bytes(4, "little") + len(over).to_bytes(2, "little")
+        out += b"".join(k.to_bytes(2, "little") for k, _ in over) + b"".join(h.to_bytes(4, "little") for _, h in over) + bits.to_bytes((len(part) * w + 7) // 8, "little")
+    return out, starts
+
+
+def test_op9_against_brute_force(spark):
+    """Every packed document of the registered query, byte for byte."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    library.encode_special_tokens = True
+    texts_ = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = corpus_queries()["op9_pfor_tokens"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in rows} == set(texts_)
+    for r in rows:
+        ids = library.encode(texts_[r.doc_id]).ids
+        assert (bytes(r.blocks), r.block_starts, r.n_tokens) == (*brute_pack(ids, pfor.BLOCK, pfor.PERCENTILE), len(ids))
+
+
+def test_pack_against_brute_force():
+    rng = random.Random(8)
+    lists_ = [[rng.choice([rng.randrange(20), rng.randrange(5000), 2**32 - 1]) for _ in range(n)] for n in (1, 7, 8, 9, 16, 100, 3, 31)] + [[5] * 20, []]
+    flat, n = np.array([x for l in lists_ for x in l], np.int64), np.array([len(l) for l in lists_])
+    for block, percentile in ((8, 0.95), (8, 0.5), (16, 1.0), (300, 0.9)):
+        data, size, starts, blocks = pfor.pack(flat, n, block, percentile)
+        want = [brute_pack(l, block, percentile) for l in lists_]
+        assert data.tobytes() == b"".join(d for d, _ in want) and size.tolist() == [len(d) for d, _ in want]
+        assert starts.tolist() == [s for _, own in want for s in own] and blocks.tolist() == [len(own) for _, own in want]
+
+
+def test_assembly_against_brute_force(spark):
+    """Random names as concurrent, among them absent ones, chains and cycles: captures are the components."""
+    rng = random.Random(6)
+    kinds = ["request", "response", "metadata", "revisit", "resource", None]
+    rows = [(f"r{i:03}", rng.choice(kinds), f"u{i}", "d", [f"r{rng.randrange(150):03}" for _ in range(rng.choice([0, 0, 1, 1, 2]))], "h", f"p{i % 9}") for i in range(120)]
+    root = {f"r{i:03}": f"r{i:03}" for i in range(150)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        for to in r[4]:
+            root[find(to)] = find(r[0])
+    want = defaultdict(lambda: defaultdict(set))
+    for r in rows:
+        part = {"request": "requests", "metadata": "metadata", "response": "responses", "revisit": "responses"}.get(r[1], "others")
+        want[find(r[0])][part].add((r[0], r[5], r[6]))
+    got = warc.assemble(spark.createDataFrame(rows, warc.RECORD)).collect()
+    names = ("requests", "responses", "metadata", "others")
+    assert sorted(tuple(sorted((n, tuple(tuple(x) for x in r[n])) for n in names)) for r in got) == sorted(tuple(sorted((n, tuple(sorted(w[n]))) for n in names)) for w in want.values())
+    heads = {min(w["responses"] or set().union(*w.values()))[0] for w in want.values()}
+    assert {r.capture_id for r in got} == heads

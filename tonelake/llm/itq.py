@@ -8,7 +8,7 @@ a pair is a near-duplicate if its cosine is at least ``threshold``. Groups are t
 
 Rows with equal vectors are one node of the search, so exact copies cost nothing. The more rows, the longer the substrings should be (about the logarithm of their number).
 
-Cases: unusable vectors and the zero vector (see vectors.py) are in no group. Rows with equal id and vector are one row; rows with equal id and different vectors are different. The row
+Cases: an empty table gives an empty result. Unusable vectors and the zero vector (see vectors.py) are in no group. Rows with equal id and vector are one row; rows with equal id and different vectors are different. The row
 kept of a group is the one with the least id (null first), on ties the least vector hash. Columns besides id and vector are ignored.
 """
 

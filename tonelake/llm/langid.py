@@ -14,7 +14,10 @@ model has about the same size whatever the table's. Everything else covers all r
 
 Cases: null or empty text has null language, null bits and is rejected. Ties go to the alphabetically first language. Text is scored in
 lower case with runs of white space as one space; a text of white space only counts as empty. Rows without a label, text or id are not trained on. With no
-labelled rows at all there is no model: every row is rejected, with null language.
+labelled rows at all there is no model: every row is rejected, with null language; an empty table gives an empty result. Repeated rows are scored alike, each as a row; in training
+each counts. Texts are scored whole, however long. Columns besides id, text and label are ignored, whatever their names, and kept where rows are filtered.
+
+The automaton's table has width ** order places of four bytes, width being one more than the bytes that training texts hold: more than ``_MOST_STATES`` is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql.window import Window
 from .common import utf8
 
 ORDER, TRAIN_DOCS, MOST_BITS = 3, 40, 7.0
+_MOST_STATES = 1 << 25
 
 
 class Ppm:
@@ -47,6 +51,8 @@ class Ppm:
                 used[np.unique(np.frombuffer(t, np.uint8))] = True
         symbols = np.where(used, np.cumsum(used), 0).astype(np.int64)
         width = int(used.sum()) + 1
+        if width**order > _MOST_STATES:
+            raise ValueError(f"contexts of {order} of {width} classes of bytes need a table of {width**order} places; {_MOST_STATES} is the most: lower the order")
         counts: list[list[tuple[np.ndarray, np.ndarray]]] = []  # [order][language]: codes of context and symbol, with their counts
         for k in range(order + 1):
             row = []

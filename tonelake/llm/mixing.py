@@ -12,7 +12,7 @@ and block, so a recomputed task gives the same sample.
 
 Cases: ties of places go by the id as a string. A text is counted whole, however long. Rows with equal id are one unit (its source is the least of theirs, its tokens are their sum): all stay or all go. A null id is a unit too, a null source
 a source like any other. Null or empty text has 0 tokens and takes part. A source without tokens is not sampled: its probability is 0. Weights of sources
-that are not there are ignored; sources without a weight have weight 0. An empty table gives an empty result. Columns besides id, text and source are ignored, whatever their names.
+that are not there are ignored; sources without a weight have weight 0. An empty table gives an empty result. Blocks of fewer than four documents are an error. Columns besides id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations

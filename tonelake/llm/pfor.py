@@ -9,7 +9,7 @@ Layout of a block, little-endian: uint16 number of values, uint8 width, uint8 un
 places, n x uint32 high bits, then the packed low bits, value after value from the least significant bit, to a whole byte.
 
 Cases: null ids give null; no ids give an empty value and an empty index. Ids must be in 0 .. 2**32 - 1, else it is an error; so is a null inside a list.
-Blocks of equal values have width 0. Rows keep their order and number; columns besides id and text are ignored, whatever their names.
+Blocks of equal values have width 0. An empty table gives an empty result; a text may be of any length, its blocks are many then. Repeated rows are packed alike. Rows keep their order and number; columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

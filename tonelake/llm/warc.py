@@ -9,7 +9,8 @@ Cases: a record that names no other, and is named by none, is a capture of its o
 of its content. A name of a record that isn't there still joins the records that share it. Repeated records (equal in all parsed parts) count
 once; different records with one identifier all stay, in order of their content. Header names are matched in any case; the first target URI, date
 and type count, all concurrent-to headers do. A record without an end of header has no payload; without a type, or of a type besides request, response and
-metadata (revisit counts as response), it goes to ``others``. Null rows are skipped. Columns besides the named ones are ignored.
+metadata (revisit counts as response), it goes to ``others``. Null rows are skipped. An empty table gives an empty result. A payload may be of any length that a Spark string holds; ``read_warc`` reads a file as one value, so a file is
+2 GB at most. Columns besides the named ones are ignored.
 """
 
 from __future__ import annotations
