@@ -130,6 +130,13 @@ def oracle_sql() -> dict[str, str]:
     lists = ", ".join(f"coalesce(string_agg(entry, ',' ORDER BY s) FILTER (kind = '{t}'), '') AS expected_{t}" for t in TYPES)
     rules = ", ".join(f"({i}, {_s(r.phrase)}, {_s(r.bucket)}, {_s(r.kind)})" for i, r in enumerate(mining.RULES))
     guard_phrases = " OR ".join([*(f"contains(lower(text), {_s(p)})" for p in guard.PHRASES), *(f"contains(text, {_s(p)})" for p in guard.MARKS)])
+    metrics = f"""{final}, n AS (SELECT {_K}, count(*) FILTER (kind <> 'positive') AS angry FROM visible GROUP BY {_K}), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM final LEFT JOIN n USING ({_K})),
+            l AS (SELECT conv_id, lang, count(*) AS n FROM final WHERE lang IS NOT NULL GROUP BY ALL), best AS (SELECT conv_id, first(lang ORDER BY n DESC, lang) AS language FROM l GROUP BY conv_id),
+            e AS (SELECT conv_id, count(DISTINCT (entry, kind, m_lang)) AS n_expressions FROM visible GROUP BY conv_id)
+            SELECT conv_id, count(*) AS n_messages, round(avg(score), 8) AS mean_score, round(stddev_pop(score), 8) AS stddev, round(coalesce(sum(angry), 0) / count(*), 8) AS angry_index, coalesce(min(pos) FILTER (angry > 0), 0) AS patience,
+                   any_value(language) AS language, coalesce(any_value(n_expressions), 0) AS n_expressions FROM placed LEFT JOIN best USING (conv_id) LEFT JOIN e USING (conv_id) GROUP BY conv_id"""
+    least = f"CASE WHEN n > 0 AND len(norm) >= {language.LEAST_TOKENS} THEN lang END AS detected"
+    sampled = f"""{_detected(f"SELECT conv_id AS id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM ({seeded})) WHERE r <= 5 GROUP BY conv_id")} SELECT id AS conv_id, {least} FROM best JOIN tok USING (id)"""
     return {
         "tokens_fold": f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_PIECE}') AS raw FROM documents)
             SELECT doc_id, len(raw) AS n_tokens, len(list_filter(raw, lambda x: length(x) >= 2 AND x = upper(x) AND x <> lower(x))) AS n_caps, coalesce(list_aggregate(list_transform(raw, lambda x: {_fold("x")}), 'string_agg', ' '), '') AS folded FROM t""",
@@ -139,11 +146,11 @@ def oracle_sql() -> dict[str, str]:
         "message_score": f"{final} SELECT {_K}, round(score, 10) AS score, round(intensity, 10) AS intensity FROM final",
         "document_score": f"WITH {_scored(docs, 'doc_id')} SELECT doc_id, round(score, 10) AS score, round(intensity, 10) AS intensity FROM final",
         "visible_expressions": f"{final} SELECT {_K}, entry AS text, kind AS type, m_lang AS language FROM visible",
-        "session_metrics": f"""{final}, n AS (SELECT {_K}, count(*) FILTER (kind <> 'positive') AS angry FROM visible GROUP BY {_K}), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM final LEFT JOIN n USING ({_K})),
-            l AS (SELECT conv_id, lang, count(*) AS n FROM final WHERE lang IS NOT NULL GROUP BY ALL), best AS (SELECT conv_id, first(lang ORDER BY n DESC, lang) AS language FROM l GROUP BY conv_id),
-            e AS (SELECT conv_id, count(DISTINCT (entry, kind, m_lang)) AS n_expressions FROM visible GROUP BY conv_id)
-            SELECT conv_id, count(*) AS n_messages, round(avg(score), 8) AS mean_score, round(stddev_pop(score), 8) AS stddev, round(coalesce(sum(angry), 0) / count(*), 8) AS angry_index, coalesce(min(pos) FILTER (angry > 0), 0) AS patience,
-                   any_value(language) AS language, coalesce(any_value(n_expressions), 0) AS n_expressions FROM placed LEFT JOIN best USING (conv_id) LEFT JOIN e USING (conv_id) GROUP BY conv_id""",
+        "session_metrics": metrics,
+        "session_analysis": f"""SELECT m.* REPLACE (coalesce(d.detected, m.language) AS language) FROM ({metrics}) m LEFT JOIN ({sampled}) d USING (conv_id)""",
+        "session_overrides": f"""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), every AS (SELECT conv_id, n FROM n UNION ALL SELECT conv_id + 1000000, n FROM n)
+            SELECT conv_id, coalesce(n_messages, 0) AS n_messages, CASE WHEN n_messages IS NULL THEN 0.0 WHEN n > 2 THEN greatest(-2.0, least(2.0, CAST(n - 4 AS DOUBLE))) ELSE mean_score END::DOUBLE AS mean_score, coalesce(stddev, 0.0)::DOUBLE AS stddev, coalesce(angry_index, 0.0)::DOUBLE AS angry_index,
+                   coalesce(patience, 0) AS patience, language, coalesce(n_expressions, 0) AS n_expressions FROM every LEFT JOIN ({metrics}) m USING (conv_id)""",
         "top_expressions": f"{final} SELECT entry AS text, kind AS type, m_lang AS language, count(*) AS n FROM visible GROUP BY ALL ORDER BY n DESC, text, type, language LIMIT {q.TOP}",
         "language_heuristic": f"""SELECT 'documents' AS origin, doc_id AS id, CAST(0 AS BIGINT) AS turn, {_log_language("text")} AS language FROM documents
             UNION ALL SELECT 'conversations', conv_id, turn, {_log_language("text")} FROM ({_opened(q.TALK)})""",

@@ -112,11 +112,28 @@ def visible_expressions(s: SparkSession, d: str) -> DataFrame:
     return _analysed(s, d).select("conv_id", "turn", F.explode(F.concat(*TYPES)).alias("e")).select("conv_id", "turn", "e.text", "e.type", "e.language")
 
 
-def session_metrics(s: SparkSession, d: str) -> DataFrame:
-    m = analyze.session_metrics(_analysed(s, d), "conv_id", "turn")
+def _rounded(m: DataFrame) -> DataFrame:
     return m.select("conv_id", "n_messages", F.round("mean_score", 8).alias("mean_score"), F.round("stddev", 8).alias("stddev"), F.round("angry_index", 8).alias("angry_index"), F.col("patience").cast("long").alias("patience"), "language", F.size("top_expressions").cast("long").alias("n_expressions"))
 
 
+def session_metrics(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(analyze.session_metrics(_analysed(s, d), "conv_id", "turn"))
+
+
+def session_analysis(s: SparkSession, d: str) -> DataFrame:
+    """From texts to sessions in one call: the language of a session's first messages wins over its messages' languages."""
+    return _rounded(analyze.analyze_sessions(seeded(s, d), _CONFIG, lang="lang"))
+
+
+def session_overrides(s: SparkSession, d: str) -> DataFrame:
+    """Sessions with and without messages; a model's mean, out of the scale for some, replaces that of sessions with more than two messages."""
+    talk = _table(s, d, "conversations")
+    every = talk.select("conv_id").union(talk.select(F.col("conv_id") + 1_000_000))
+    scores = every.groupBy("conv_id").agg((F.count("*") - 4).cast("double").alias("mean_score")).where("mean_score > -2")
+    m = analyze.with_empty_sessions(analyze.session_metrics(_analysed(s, d), "conv_id", "turn"), every)
+    return _rounded(analyze.override_mean(m, scores))
+
+
 def top_expressions(s: SparkSession, d: str) -> DataFrame:
     return usage.top(analyze.top_expressions(_analysed(s, d)), TOP, "text", "type", "language")
 
@@ -389,7 +406,7 @@ def lexicon_lint(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        tokens_fold, keyword_matches, keyword_matches_join, rule_effects, message_score, document_score, visible_expressions, session_metrics, top_expressions, language_heuristic, language_detect, session_language, dominant_language,
+        tokens_fold, keyword_matches, keyword_matches_join, rule_effects, message_score, document_score, visible_expressions, session_metrics, session_analysis, session_overrides, top_expressions, language_heuristic, language_detect, session_language, dominant_language,
         guard_flags, coverage_phantom, coverage_unconsumed, coverage_summary, rule_mining, topic_hist, slash_hist, url_hosts, word_hist, top_words, calendar_hist, claude_sessions, claude_counters, claude_messages, session_shape,
         biggest_sessions, codex_sessions, codex_counters, usage_overview, context_stats, tolerant_records, kept_messages, session_index, codex_threads, codex_folders, codex_messages, suggested_fixtures, rate_limiter, request_sizes, response_scores, softmax_score, wordpiece_encode, zh_score, lexicon_lint,
     ]
