@@ -41,15 +41,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def drop_written(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Deletes the tables that ``written`` made for this application (or those given); results that read them must be stored first."""
     own = _written.get(spark.sparkContext.applicationId, [])
-    for path in list(own if paths is None else paths):
+    for path in filter(None, list(own if paths is None else paths)):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in own:
-            own.remove(path)
+        own[:] = [p for p in own if _name(p) != _name(path)]
+
+
+def _name(path: str) -> str:
+    """A table's own name: the same path may be written with and without its scheme."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
 
 
 def tables(spark: SparkSession) -> list[str]:
-    """The paths of the tables that ``written`` made for this application and that are still there."""
+    """The paths of the tables that ``written`` made for this application and that are still there, the latest last."""
     return list(_written.get(spark.sparkContext.applicationId, []))
 
 
