@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm import bpe, langid, minhash, mixing
-from tonelake.llm.common import drop_written, path_of, tables, written
+from tonelake.llm.common import drop_written, tables, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
-            drop_written(spark, [p for p in tables(spark) if p not in before and p != path_of(docs)])
+            drop_written(spark, [p for p in tables(spark) if p not in before][:-1])  # the last is this one
     return docs
