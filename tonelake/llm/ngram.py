@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -534,9 +535,11 @@ def _blocks(block_words: int):
 
 
 def _swept(spark: SparkSession) -> None:
-    """Shuffle files of tables that are no longer used go; else those of all steps stay on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of tables that are no longer used go; else those of all steps stay on disk. What a first collection sets free may hold more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def score_documents(
@@ -565,6 +568,7 @@ def score_documents(
                 for r, c in opening(unpack(data.as_py()))[0].sent(first_ranges):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
 
+    del keyed, weights, texts
     asked = table.select("block", "cell").mapInArrow(opened, "block long, range int, cell binary")
     _swept(spark)
     while left:
