@@ -359,6 +359,28 @@ def test_scored_documents_odd_rows(spark):
     assert alone.bits == pytest.approx(40) and alone.longest_match == 0  # uniform: nothing is known
 
 
+def test_places_that_follow_are_not_searched():
+    rng = random.Random(4)
+    long = [f"w{i}" for i in range(100)] + ["again and again"] * 4
+    corpus = [" ".join(w if rng.random() > 0.02 else "zz" for w in long) for _ in range(4)] + ["w1 w2 w3 zz w5", "again and again and again"]
+    words, n = word_hashes(pa.array(corpus))
+    vocab, word = np.unique(words, return_inverse=True)
+    total = int((n + 1).sum())
+    deep = ngram.begin({"n": n, "weight": np.ones(len(n), np.int64), "vocab": vocab, "word": word.astype(np.int32)}, 1, {}, total, ngram.PRIOR, ngram.VOCABULARY_SIZE)
+    asked = steps = 0
+    while len(deep.place):
+        deep.settle(total, ngram.PRIOR, ngram.VOCABULARY_SIZE)
+        deep, steps = ngram.Deep(ngram.unpack(deep.state())), steps + 1
+        asked += len(deep.ask) if steps > 2 else 0
+        deep.answer(deep.asks.totals(1, {}))
+    deep.settle(total, ngram.PRIOR, ngram.VOCABULARY_SIZE)
+    for i, t in enumerate(corpus):
+        count, bits, longest, mean = brute_bits(t, corpus[:i] + corpus[i + 1 :], ngram.PRIOR, ngram.VOCABULARY_SIZE)
+        assert (n[i], deep.s["top"][i]) == (count, longest)
+        assert (deep.s["bits"][i], deep.s["context"][i] / n[i]) == (pytest.approx(bits), pytest.approx(mean))
+    assert asked < len(words) / 2
+
+
 def test_op3_scores_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = corpus_queries()["op3_ngram_scoring"](spark, "/root/testdata/sf0.001")

@@ -12,8 +12,9 @@ each shard's suffixes: a suffix array in which all places that end with the same
 1, 2, 3, ... words. A first pass gives the longest match over all shards, a second one sums the counts of just those strings. The queries go to every task.
 
 ``score_documents``: every document of a corpus under all others; sending all documents to all suffix arrays would grow with the square of the corpus. Here a block of documents asks
-for the counts of word strings by hash, in sorted lists, and the lists are merged by range of hash: lengths 1, 2 and 3 at once, then, for the places that are still
-matched elsewhere, doubled lengths, and half way between two lengths whose counts differ (see ``Deep``). So the work grows with the corpus, and the number of steps with the logarithm of the longest match.
+for the counts of word strings by hash, in sorted lists, and the lists are merged by range of hash: lengths 1 and 2 at once, then, for the places that are still
+matched elsewhere, 3 and 4, doubled lengths, and half way between two lengths whose counts differ (see ``Deep``). Places whose word always follows the words before it follow from the place before and
+are not searched, which are most in near copies. So the work grows with the corpus, and the number of steps with the logarithm of the longest match.
 A document's own text doesn't count; its exact copies do. Documents with equal text (case folded) are scored once, weighted by their number. Strings of words are compared by
 64-bit hashes that are mixed level by level, texts by 128 bits.
 
@@ -24,10 +25,9 @@ Texts are scored whole, however long. Columns besides id and text are ignored, w
 
 from __future__ import annotations
 
-import gc
 import pickle
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -232,8 +232,8 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def by_hash(h: np.ndarray) -> np.ndarray:
-    """The stable order of hashes. Their places are packed into the low bits for the sort; where the high bits tie by chance, just those are sorted again."""
+def by_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of hashes, and the hashes in it. Their places are packed into the low bits for the sort; where the high bits tie by chance, just those are sorted again."""
     low = np.uint64((1 << max(1, (len(h) - 1).bit_length())) - 1)
     order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
     sorted_ = h[order]
@@ -244,7 +244,8 @@ def by_hash(h: np.ndarray) -> np.ndarray:
         at = np.unique(np.concatenate([np.arange(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]))
         own = order[at]
         order[at] = own[np.argsort(h[own], kind="stable")]
-    return order
+        sorted_[at] = h[order[at]]
+    return order, sorted_
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -260,22 +261,24 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 class Asks:
     """Word strings of a block by hash: the distinct ones in order with their weighted counts in the block, and for each place its string and how often its own document has it.
 
-    h: hashes of the strings that end at places of documents doc (ascending); weight: of each document."""
+    h: hashes of the strings that end at places of documents doc (ascending); weight: of each document. places: whether what is said of each place is needed."""
 
-    def __init__(self, h: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+    def __init__(self, h: np.ndarray, doc: np.ndarray, weight: np.ndarray, places: bool = True) -> None:
         n = len(h)
-        self.of, self.own = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        if places:
+            self.of, self.own = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.hash, self.local = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if not n:
             return
-        order = by_hash(h)
-        h, doc = h[order], doc[order]
+        order, h = by_hash(h)
+        doc = doc[order]
         new = changes(h)
         start = np.flatnonzero(new)
-        runs = np.flatnonzero(new | changes(doc))
-        size = np.diff(np.append(runs, n)).astype(np.int32)
-        self.own[order] = np.repeat(size, size)
-        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        if places:
+            runs = np.flatnonzero(new | changes(doc))
+            size = np.diff(np.append(runs, n)).astype(np.int32)
+            self.own[order] = np.repeat(size, size)
+            self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.hash, self.local = h[start], np.add.reduceat(weight[doc], start)
 
     def sent(self, ranges: int) -> Iterator[tuple[int, bytes]]:
@@ -307,12 +310,14 @@ def merge(cells: pa.Table) -> pa.Table:
     """One range of hashes: for each block's sorted list, what all other blocks' lists add to the counts."""
     parts = [unpack(x.as_py()) for x in cells["cell"]]
     sizes = [len(p["h"]) for p in parts]
-    h = np.concatenate([np.cumsum(p["h"], dtype=np.uint64) for p in parts])
-    n = np.concatenate([p["n"].astype(np.int64) for p in parts])
-    order = by_hash(h)
-    start = np.flatnonzero(changes(h[order]))
+    h = np.concatenate([np.cumsum(p.pop("h"), dtype=np.uint64) for p in parts])
+    n = np.concatenate([p.pop("n") for p in parts])
+    order, h = by_hash(h)
+    start = np.flatnonzero(changes(h))
+    del parts, h
     more = np.empty(len(n), np.int64)
     more[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(n))))
+    del order
     more -= n
     keep, out = [], []
     for i, own in enumerate(np.split(more, np.cumsum(sizes)[:-1])):
@@ -328,66 +333,93 @@ class Levels:
     def __init__(self, words: np.ndarray) -> None:
         self.h = [words]
 
+    def level(self, k: int) -> np.ndarray:
+        while len(self.h) <= k:
+            last, s = self.h[-1], 1 << (len(self.h) - 1)
+            nxt = last.copy()
+            nxt[s:] *= _A
+            nxt[s:] += last[:-s]
+            nxt ^= nxt >> np.uint64(29)
+            self.h.append(nxt)
+        return self.h[k]
+
     def strings(self, place: np.ndarray, m: np.ndarray) -> np.ndarray:
-        k = np.frexp(m.astype(np.float64))[1] - 1
+        k = np.frexp(m.astype(np.float32))[1] - 1 if len(m) and m.max() < 1 << 24 else np.frexp(m.astype(np.float64))[1] - 1
         out = np.empty(len(place), np.uint64)
-        for level in range(int(k.max()) + 1 if len(k) else 0):
-            while len(self.h) <= level:
-                last, s = self.h[-1], 1 << (len(self.h) - 1)
-                nxt = last.copy()
-                nxt[s:] *= _A
-                nxt[s:] += last[:-s]
-                nxt ^= nxt >> np.uint64(29)
-                self.h.append(nxt)
+        for level in np.flatnonzero(np.bincount(k)).tolist():
             own = np.flatnonzero(k == level)
             p, n = place[own], m[own]
-            out[own] = mix(self.h[level][p] * _A + self.h[level][p - n + (1 << level)] + n.astype(np.uint64))
+            h = self.level(level)
+            out[own] = mix(h[p] * _A + h[p - n + (1 << level)] + n.astype(np.uint64))
         return out
 
+    def of_length(self, place: np.ndarray, m: int) -> np.ndarray:
+        """As ``strings``, for one length."""
+        k = m.bit_length() - 1
+        h = self.level(k)
+        return mix(h[place] * _A + h[place - (m - (1 << k))] + np.uint64(m))
+
 
-def opening(s: dict[str, np.ndarray]) -> tuple[Asks, list[np.ndarray], np.ndarray]:
-    """What a block asks first: all its strings of 1, 2 and 3 words; the places of each length; the document of each place."""
+def opening(s: dict[str, np.ndarray], places: bool = True) -> tuple[Asks, list[np.ndarray], np.ndarray]:
+    """What a block asks first: all its strings of 1 and 2 words; the places of each length; the document of each place."""
     n = s["n"]
     doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    avail = np.arange(1, len(doc) + 1) - np.repeat(np.cumsum(n) - n, n)
     levels = Levels(s["vocab"][s["word"]])
-    places = [np.flatnonzero(avail >= m) for m in (1, 2, 3)]
-    h = np.concatenate([levels.strings(p, np.full(len(p), m)) for m, p in zip((1, 2, 3), places, strict=True)])
-    by = np.concatenate([doc[p] for p in places])
+    two = np.ones(len(doc), bool)
+    two[(np.cumsum(n) - n)[n > 0]] = False
+    at = [np.arange(len(doc)), np.flatnonzero(two)]
+    h = np.concatenate([levels.of_length(p, m) for m, p in enumerate(at, 1)])
     # strings of one hash have one length, and places ascend within each length
-    return Asks(h, by, s["weight"]), places, doc
+    return Asks(h, np.concatenate([doc, doc[at[1]]]), s["weight"], places), at, doc
 
 
 class Deep:
-    """The places of a block whose last three words another document holds, with the words before them, and what is known of longer strings.
+    """The places of a block whose last two words another document holds, with the words before them, and what is known of longer strings.
 
-    Of each open place, strings of 6, 12, 24, ... words are asked for as long as another document holds them. Between two lengths a < b with equal counts all counts are equal; if
+    Of each open place, strings of 3, 4, 8, 16, ... words are asked for as long as another document holds them. Between two lengths a < b with equal counts all counts are equal; if
     they differ, the length half way is asked. All places of a string have the same history: if one place of an a-word string has another count at b, so have all. So all of
-    them ask for the same strings in the same step, and counts are whole. A string that cannot be elsewhere, because a part of it isn't, is not asked for."""
+    them ask for the same strings in the same step, and counts are whole. A string that cannot be elsewhere, because a part of it isn't, is not asked for.
 
-    KEYS = ("word", "doc", "near", "todo", "length", "count", "single", "place", "a", "at_a", "b", "at_b")
+    A place whose last m + 1 words are as frequent as the m before its own word (m is 2 or 3) follows: its word comes wherever those m are, so any longer string with them is as frequent with
+    the word as without it, in each document. Its longest match is that of the place before and one word more, with the same count; it isn't open. All places of a string of
+    m + 1 words or more follow, or none, so counts of the others stay whole."""
 
-    def __init__(self, s: dict[str, np.ndarray]) -> None:
+    KEYS = ("word", "doc", "near", "todo", "length", "count", "own", "follows", "known", "whole", "place", "a", "at_a", "b", "at_b")
+
+    def __init__(self, s: dict[str, np.ndarray], answered: bool = True) -> None:
         self.s = s
         for k in self.KEYS:
             setattr(self, k, s[k])
+        self.place = np.cumsum(self.place)  # held as differences
+        if self.known[0] < 4:
+            self.at_a = self.whole[self.place]
         self.levels = Levels(s["vocab"][self.word])
-        self.next()
+        self.next(answered)
 
-    def next(self) -> None:
-        """The strings to ask for."""
-        # how many places in a row, up to each, end with three words that are elsewhere
-        alive = self.length >= 3
+    def next(self, places: bool = False) -> None:
+        """The strings to ask for. places: as in ``Asks``."""
+        known = int(self.known[0])  # of all places it is known whether so many words are elsewhere
+        # how many places in a row, up to each, end with so many words that are elsewhere
+        alive = self.length >= known
         i = np.arange(len(alive))
         self.run = i - np.maximum.accumulate(np.where(alive & self.near, -1, np.where(alive, i - 1, i)))
-        open_ = np.zeros(len(alive), bool)
-        open_[self.place] = True
-        self.m = np.where(self.b > 0, (self.a + self.b) >> 1, 2 * self.a)
+        open_ = self.open()
+        self.m = np.where(self.b > 0, (self.a + self.b) >> 1, np.where(self.a < 4, self.a + 1, 2 * self.a))
         before = np.maximum(self.place - 1, 0)
-        ask = (self.m <= self.run[self.place] + 2) & (open_[before] | (self.length[before] >= self.m - 1))
+        ask = (self.m < self.run[self.place] + known) & (open_[before] | (self.length[before] >= self.m - 1))
         self.ask = np.flatnonzero(ask)
         p = self.place[self.ask]
-        self.asks = Asks(self.levels.strings(p, self.m[self.ask]), self.doc[p], self.s["weight"])
+        h = self.levels.of_length(p, known + 1) if known < 4 else self.levels.strings(p, self.m[self.ask])
+        self.asks = Asks(h, self.doc[p], self.s["weight"], places)
+
+    def root(self) -> np.ndarray:
+        """The place that each place follows, itself if none."""
+        return np.maximum.accumulate(np.where(self.follows, 0, np.arange(len(self.follows))))
+
+    def open(self) -> np.ndarray:
+        out = np.zeros(len(self.doc), bool)
+        out[self.place] = True
+        return out[self.root()]
 
     def answer(self, totals: np.ndarray) -> None:
         count, rest = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
@@ -398,6 +430,19 @@ class Deep:
         better = better[np.argsort(m[better], kind="stable")]  # the longest is set last
         self.length[place[better]], self.count[place[better]] = m[better], rest[better]
         up = (b == 0) & (rest > 0)
+        if self.known[0] < 4:  # all ask for one length, known + 1
+            new = np.zeros(len(place), bool)
+            own = self.ask
+            new[own] = (rest[own] > 0) & (count[own] == self.whole[place[own] - 1])  # the place before is there, as the string is
+            self.follows[place[new]] = True
+            up &= ~new
+            self.whole = np.zeros(len(self.doc), np.int64)
+            if self.known[0] < 3:
+                self.whole[place] = count
+            self.known = self.known + 1
+        root = self.root()
+        at = np.flatnonzero(self.follows)
+        self.length[at], self.count[at] = self.length[root[at]] + (at - root[at]), self.count[root[at]]
         lower = (m - a > 1) & (at_a != count)
         upper = (b - m > 1) & (count != at_b) & (rest > 0)
         place = np.concatenate([place[up], place[lower], place[upper]])
@@ -414,55 +459,56 @@ class Deep:
         s, size = self.s, len(self.doc)
         if not size:
             return
-        n, closed = s["n"], np.ones(size, bool)
-        closed[self.place] = False
+        n, closed = s["n"], ~self.open()
         i = np.flatnonzero(self.todo)
         i = i[closed[i] & closed[i - 1]]  # the place before is there
-        p0 = unigram(self.single[i], total - (n + 1)[self.doc[i]], prior, vocabulary)
+        p0 = unigram(s["freq"][self.word[i]] - self.own[i], total - (n + 1)[self.doc[i]], prior, vocabulary)
         s["bits"] = s["bits"] + np.bincount(self.doc[i], cost(self.length[i], self.count[i], self.length[i - 1], self.count[i - 1], p0, prior), len(n))
         s["context"] = s["context"] + np.bincount(self.doc[i], self.length[i - 1], len(n))
         start = np.flatnonzero(changes(self.doc))
         s["top"][self.doc[start]] = np.maximum(s["top"][self.doc[start]], np.maximum.reduceat(self.length, start))
         self.todo[i] = False
         # strings between two lengths lie within the longer one, others within the row of places
-        edge = np.zeros(size + 1, np.int64)
-        np.add.at(edge, np.maximum(self.place - np.where(self.b > 0, self.b + 2, self.run[self.place] + 2), 0), 1)
-        np.add.at(edge, self.place + 1, -1)
-        keep = (np.cumsum(edge[:-1]) > 0) | self.todo
+        first = np.maximum(self.place - np.where(self.b > 0, self.b + 2, self.run[self.place] + self.known[0] - 1), 0)
+        keep = (np.cumsum(np.bincount(first, minlength=size) - np.bincount(self.place + 1, minlength=size + 1)[:size]) > 0) | self.todo
         keep[:-1] |= self.todo[1:]
         if keep.mean() > 0.75:
             return
         number = np.cumsum(keep) - 1
         self.place = number[self.place]
         near = self.near & np.concatenate([[False], keep[:-1]])
-        for k in ("word", "doc", "todo", "length", "count", "single"):
+        for k in ("word", "doc", "todo", "length", "count", "own", "follows", "whole"):
             setattr(self, k, getattr(self, k)[keep])
         self.near = near[keep]
+        self.follows &= self.near  # of those that lose the place before, all is known
 
     def state(self) -> bytes:
-        keep = {k: self.s[k] for k in ("n", "weight", "vocab", "bits", "context", "top")}
-        return pack(**keep, **{k: getattr(self, k) for k in self.KEYS})
+        keep = {k: self.s[k] for k in ("n", "weight", "bits", "context", "top")}
+        used = np.zeros(len(self.s["vocab"]), bool)
+        used[self.word] = True
+        now = {k: getattr(self, k) for k in self.KEYS} | {"word": (np.cumsum(used) - 1)[self.word], "place": np.diff(self.place, prepend=0)}
+        if self.known[0] < 4:
+            now["at_a"] = self.at_a[:0]
+        return pack(**keep, vocab=self.s["vocab"][used], freq=self.s["freq"][used], **now)
 
 
 def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], total: int, prior: float, vocabulary: int) -> Deep:
     """After the first answers: sums for the positions that are settled, and what is known of the others."""
-    asks, places, doc = opening(s)
+    asks, (_, two), doc = opening(s)
     n, size = s["n"].astype(np.int64), len(doc)
     whole = asks.totals(ranges, answers)[asks.of]
-    rest = whole - asks.own
-    length, count, single, three = np.zeros(size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-    at = 0
-    for m, p in enumerate(places, 1):
-        own, at = rest[at : at + len(p)], at + len(p)
-        some = p[own > 0]
-        length[some], count[some] = m, own[own > 0]
-        if m == 1:
-            single[p] = own
-        elif m == 3:
-            three[p] = whole[at - len(p) : at]
-    first = np.zeros(size, bool)
-    first[(np.cumsum(n) - n)[n > 0]] = True
-    alive = length >= 3
+    rest, own = whole - asks.own, asks.own[:size]
+    del asks
+    freq = np.zeros(len(s["vocab"]), np.int64)
+    freq[s["word"]] = whole[:size]
+    single, count = rest[:size], rest[:size].copy()
+    length, pairs = (single > 0).astype(np.int32), np.zeros(size, np.int64)
+    some = rest[size:] > 0
+    length[two[some]], count[two[some]] = 2, rest[size:][some]
+    pairs[two] = whole[size:]
+    first = np.ones(size, bool)
+    first[two] = False
+    alive = length >= 2
     shift = lambda x: np.concatenate([x[:1] & False, x[:-1]])
     todo = ~first & (alive | shift(alive))
     settled = np.flatnonzero(~todo)
@@ -471,19 +517,18 @@ def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], tota
     bits = np.bincount(doc[settled], cost(length[settled], count[settled], before, context, p0, prior), len(n))
     sums = np.bincount(doc[settled], before, len(n))
     top = np.zeros(len(n), np.int64)
-    np.maximum.at(top, doc, length)
-    ahead = lambda x: np.concatenate([x[1:], x[:1] & False])  # noqa: E731  # (a place with three words has two before it in its document)
-    keep = np.flatnonzero(alive | ahead(alive) | ahead(ahead(alive)) | todo)
+    start = np.flatnonzero(changes(doc))
+    top[doc[start]] = np.maximum.reduceat(length, start)
+    keep = np.flatnonzero(alive | np.concatenate([alive[1:], alive[:1] & False]) | todo)  # a place with two words has one before it in its document
     near = np.zeros(len(keep), bool)
     near[1:] = (keep[1:] == keep[:-1] + 1) & (doc[keep[1:]] == doc[keep[:-1]])
     place = np.flatnonzero(alive[keep])
-    used, word = np.unique(s["word"][keep], return_inverse=True)
     none = np.zeros(len(place), np.int64)
     deep = dict(
-        n=n, weight=s["weight"], vocab=s["vocab"][used], bits=bits, context=sums, top=top, word=word, doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=count[keep],
-        single=single[keep], place=place, a=none + 3, at_a=three[keep[place]], b=none, at_b=none - 1,
+        n=n, weight=s["weight"], vocab=s["vocab"], freq=freq, bits=bits, context=sums, top=top, word=s["word"][keep], doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=count[keep],
+        own=own[keep], follows=np.zeros(len(keep), bool), known=np.array([2]), whole=pairs[keep], place=np.diff(place, prepend=0), a=none + 2, at_a=none[:0], b=none, at_b=none - 1,
     )
-    return Deep(deep)
+    return Deep(deep, answered=False)
 
 
 def _blocks(block_words: int):
@@ -496,15 +541,15 @@ def _blocks(block_words: int):
         def block() -> pa.RecordBatch:
             nonlocal number
             words, n, weight, a, b = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            order = by_hash(words)
-            new = changes(words[order])
+            order, h = by_hash(words)
+            new = changes(h)
             start = np.flatnonzero(new)
             often = np.argsort(-np.diff(np.append(start, len(words))), kind="stable")
             rank = np.empty(len(start), np.int32)
             rank[often] = np.arange(len(start), dtype=np.int32)
             word = np.empty(len(words), np.int32)
             word[order] = rank[np.cumsum(new) - 1]
-            state = pack(n=n, weight=weight, vocab=words[order][start][often], word=word)
+            state = pack(n=n, weight=weight, vocab=h[start][often], word=word)
             number += 1
             total = int((weight * (n + 1)).sum())
             one = np.array([len(n)])
@@ -534,12 +579,18 @@ def _blocks(block_words: int):
     return run
 
 
-def _swept(spark: SparkSession) -> None:
-    """Shuffle files of tables that are no longer used go; else those of all steps stay on disk. What a first collection sets free may hold more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Each write deletes its shuffle files as it ends; else those of all steps stay on disk until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def score_documents(
@@ -552,11 +603,13 @@ def score_documents(
     spark = docs.sparkSession
     low = F.lower(F.col(text))
     keyed = docs.select(F.col(doc_id).alias("id"), doc_key(F.col(doc_id), F.col(text)).alias("key"), F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), low.alias("t"))
-    names = written(keyed.select("id", "key", "h1", "h2").distinct(), "names")
+    with _cleaned(spark):
+        names = written(keyed.select("id", "key", "h1", "h2").distinct(), "names")
     weights = names.groupBy("h1", "h2").agg(F.count("*").alias("weight"))
     texts = keyed.where("t is not null").groupBy("h1", "h2").agg(F.first("t").alias("t")).join(weights, ["h1", "h2"]).select("h1", "h2", "weight", "t")
     schema = "block long, range int, open long, total long, cell binary, h1 array<long>, h2 array<long>"  # states have no range, lists for a range of hashes nothing else
-    table = written(texts.mapInArrow(_blocks(block_words), schema), "blocks")
+    with _cleaned(spark):
+        table = written(texts.mapInArrow(_blocks(block_words), schema), "blocks")
     found = table.agg(F.sum("open"), F.sum("total")).first()
     words, total, step = found[0] or 0, found[1] or 0, 0
     left, ranges = words, -(-2 * words // range_asks)
@@ -565,12 +618,10 @@ def score_documents(
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for r, c in opening(unpack(data.as_py()))[0].sent(first_ranges):
+                for r, c in opening(unpack(data.as_py()), places=False)[0].sent(first_ranges):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
 
-    del keyed, weights, texts
     asked = table.select("block", "cell").mapInArrow(opened, "block long, range int, cell binary")
-    _swept(spark)
     while left:
         after_ranges = max(1, -(-(left // 2 if step == 0 else left) // range_asks))
 
@@ -592,14 +643,13 @@ def score_documents(
             cells = [pa.array([s["block"][0].as_py()] * n, pa.int64()), pa.array([r for r, _ in sent], pa.int32()), none(pa.int64()), none(pa.int64()), pa.array([c for _, c in sent], pa.binary()), none(s.schema.field("h1").type), none(s.schema.field("h2").type)]
             return pa.concat_tables([s, pa.table(cells, schema=s.schema)])
 
-        answers = written(asked.groupBy("range").applyInArrow(merge, "block long, range int, cell binary"), "answers")
-        _swept(spark)
-        after = written(table.where("range is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "state")
+        with _cleaned(spark):
+            answers = written(asked.groupBy("range").applyInArrow(merge, "block long, range int, cell binary"), "answers")
+            after = written(table.where("range is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "state")
         left = after.agg(F.sum("open")).first()[0] or 0
         drop_written(spark, [path_of(answers), path_of(table)])
         table, step, ranges = after, step + 1, after_ranges
         asked = table.where("range is not null").select("block", "range", "cell")
-        _swept(spark)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
