@@ -381,6 +381,27 @@ def test_places_that_follow_are_not_searched():
     assert asked < len(words) / 2
 
 
+def test_states_stay_where_they_are(spark, monkeypatch):
+    plans, rows, own, real = [], [], [], ngram.written
+
+    def seen(df, what, **by):
+        table = real(df, what, **by)
+        own.append(ngram.path_of(table))
+        if what == "state":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            rows.append((table.count(), table.select("block").distinct().count()))
+        return table
+
+    monkeypatch.setattr(ngram, "written", seen)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(40, 5, words=12, size=(20, 40)) + ["a b c d e f g h i j", "a b c d e f g h i j k"])], "doc_id long, text string")
+    assert ngram.score_documents(docs, block_words=100, range_asks=1000).count() == 42
+    assert len(plans) > 2
+    assert all(p.count("Exchange hashpartitioning(block") == 1 for p in plans)  # of the answers; the states aren't shuffled
+    assert all(n == blocks > 1 for n, blocks in rows)  # nor are lists written beside them
+    ngram.drop_written(spark, own)
+    assert not {t.name for t in spark.catalog.listTables()} & {p.rsplit("/", 1)[1].replace("-", "_") for p in own}
+
+
 def test_op3_scores_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = corpus_queries()["op3_ngram_scoring"](spark, "/root/testdata/sf0.001")

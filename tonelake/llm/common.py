@@ -27,15 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: dict[str, list[str]] = {}
+_bucketed: set[str] = set()  # the names of those that are in the catalog
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it cuts lineage and survives the loss of executors."""
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it cuts lineage and survives the loss of executors.
+
+    by: a column by whose hash the rows are kept in buckets, as many as a shuffle has partitions, so that grouping by it doesn't shuffle the table. Such a table is in the
+    session's catalog until it is dropped."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonelake-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        _bucketed.add(_name(path))
+        df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(_in_catalog(path))
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(_in_catalog(path))
+
+
+def _in_catalog(path: str) -> str:
+    return f"spark_catalog.default.{_name(path).replace('-', '_')}"
 
 
 def drop_written(spark: SparkSession, paths: list[str] | None = None) -> None:
@@ -44,6 +56,9 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None) -> None:
     for path in filter(None, list(own if paths is None else paths)):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if _name(path) in _bucketed:
+            spark.sql(f"DROP TABLE IF EXISTS {_in_catalog(path)}")
+            _bucketed.remove(_name(path))
         own[:] = [p for p in own if _name(p) != _name(path)]
 
 

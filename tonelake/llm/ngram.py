@@ -386,7 +386,8 @@ class Deep:
 
     KEYS = ("word", "doc", "near", "todo", "length", "count", "own", "follows", "known", "whole", "place", "a", "at_a", "b", "at_b")
 
-    def __init__(self, s: dict[str, np.ndarray], answered: bool = True) -> None:
+    def __init__(self, s: dict[str, np.ndarray], asking: bool = True, places: bool = True) -> None:
+        """asking: whether the strings to ask for are needed; places: as in ``Asks``."""
         self.s = s
         for k in self.KEYS:
             setattr(self, k, s[k])
@@ -394,15 +395,19 @@ class Deep:
         if self.known[0] < 4:
             self.at_a = self.whole[self.place]
         self.levels = Levels(s["vocab"][self.word])
-        self.next(answered)
+        self.reach()
+        if asking:
+            self.next(places)
 
-    def next(self, places: bool = False) -> None:
-        """The strings to ask for. places: as in ``Asks``."""
-        known = int(self.known[0])  # of all places it is known whether so many words are elsewhere
-        # how many places in a row, up to each, end with so many words that are elsewhere
-        alive = self.length >= known
+    def reach(self) -> None:
+        """How many places in a row, up to each, end with so many words that are elsewhere."""
+        alive = self.length >= int(self.known[0])
         i = np.arange(len(alive))
         self.run = i - np.maximum.accumulate(np.where(alive & self.near, -1, np.where(alive, i - 1, i)))
+
+    def next(self, places: bool) -> None:
+        """The strings to ask for. places: as in ``Asks``."""
+        known = int(self.known[0])  # of all places it is known whether so many words are elsewhere
         open_ = self.open()
         self.m = np.where(self.b > 0, (self.a + self.b) >> 1, np.where(self.a < 4, self.a + 1, 2 * self.a))
         before = np.maximum(self.place - 1, 0)
@@ -452,7 +457,7 @@ class Deep:
         self.at_a = np.concatenate([count[up], at_a[lower], count[upper]])[by]
         self.b = np.concatenate([np.zeros(int(up.sum()), np.int64), m[lower], b[upper]])[by]
         self.at_b = np.concatenate([np.full(int(up.sum()), -1, np.int64), count[lower], at_b[upper]])[by]
-        self.next()
+        self.reach()
 
     def settle(self, total: int, prior: float, vocabulary: int) -> None:
         """Adds up the positions whose counts are final, and lets go of the places that no open string and no other position needs."""
@@ -528,7 +533,7 @@ def begin(s: dict[str, np.ndarray], ranges: int, answers: dict[int, bytes], tota
         n=n, weight=s["weight"], vocab=s["vocab"], freq=freq, bits=bits, context=sums, top=top, word=s["word"][keep], doc=doc[keep], near=near, todo=todo[keep], length=length[keep], count=count[keep],
         own=own[keep], follows=np.zeros(len(keep), bool), known=np.array([2]), whole=pairs[keep], place=np.diff(place, prepend=0), a=none + 2, at_a=none[:0], b=none, at_b=none - 1,
     )
-    return Deep(deep, answered=False)
+    return Deep(deep, asking=False)
 
 
 def _blocks(block_words: int):
@@ -553,8 +558,8 @@ def _blocks(block_words: int):
             number += 1
             total = int((weight * (n + 1)).sum())
             one = np.array([len(n)])
-            cells = [pa.array([task << 32 | number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([len(words)], pa.int64()), pa.array([total], pa.int64()), pa.array([state], pa.binary()), lists(a, one), lists(b, one)]
-            return pa.RecordBatch.from_arrays(cells, names=["block", "range", "open", "total", "cell", "h1", "h2"])
+            cells = [pa.array([task << 32 | number], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([total], pa.int64()), pa.array([state], pa.binary()), lists(a, one), lists(b, one)]
+            return pa.RecordBatch.from_arrays(cells, names=["block", "open", "total", "cell", "h1", "h2"])
 
         for batch in batches:
             words, n = word_hashes(batch.column(3))
@@ -598,7 +603,8 @@ def score_documents(
 ) -> DataFrame:
     """(doc_id, key, n_words, bits, bits_per_word, longest_match, mean_context) for each document under all other documents.
 
-    A step is two jobs over a written table of blocks' states and lists: lists are merged by range of hash (about ``range_asks`` strings each), and blocks take the answers in and ask again.
+    A step is two jobs over a written table of blocks' states: the states' lists of strings are merged by range of hash (about ``range_asks`` strings each), and blocks take the answers in.
+    Lists are made from the states when they are sent, and states stay in their buckets: neither is written a second time, as what is on disk at once sets the limit.
     """
     spark = docs.sparkSession
     low = F.lower(F.col(text))
@@ -607,25 +613,24 @@ def score_documents(
         names = written(keyed.select("id", "key", "h1", "h2").distinct(), "names")
     weights = names.groupBy("h1", "h2").agg(F.count("*").alias("weight"))
     texts = keyed.where("t is not null").groupBy("h1", "h2").agg(F.first("t").alias("t")).join(weights, ["h1", "h2"]).select("h1", "h2", "weight", "t")
-    schema = "block long, range int, open long, total long, cell binary, h1 array<long>, h2 array<long>"  # states have no range, lists for a range of hashes nothing else
+    schema = "block long, open long, total long, cell binary, h1 array<long>, h2 array<long>"
     with _cleaned(spark):
-        table = written(texts.mapInArrow(_blocks(block_words), schema), "blocks")
+        table = written(texts.mapInArrow(_blocks(block_words), schema), "blocks", by="block")
     found = table.agg(F.sum("open"), F.sum("total")).first()
     words, total, step = found[0] or 0, found[1] or 0, 0
-    left, ranges = words, -(-2 * words // range_asks)
-    first_ranges = ranges  # the first lists have more strings than places
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for r, c in opening(unpack(data.as_py()), places=False)[0].sent(first_ranges):
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
-
-    asked = table.select("block", "cell").mapInArrow(opened, "block long, range int, cell binary")
+    left = words
     while left:
-        after_ranges = max(1, -(-(left // 2 if step == 0 else left) // range_asks))
+        ranges = -(-(left if step else 2 * words) // range_asks)  # the first lists have more strings than places
+
+        def ask(batches: Iterator[pa.RecordBatch], *, ranges: int = ranges, first: bool = step == 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own = unpack(data.as_py())
+                    asks = opening(own, places=False)[0] if first else Deep(own, places=False).asks
+                    for r, c in asks.sent(ranges):
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([r], pa.int32()), pa.array([c], pa.binary())], names=["block", "range", "cell"])
 
-        def answer(s: pa.Table, a: pa.Table, *, ranges: int = ranges, after_ranges: int = after_ranges, first: bool = step == 0) -> pa.Table:
+        def answer(s: pa.Table, a: pa.Table, *, ranges: int = ranges, first: bool = step == 0) -> pa.Table:
             if not s["open"][0].as_py():
                 return s
             cells = dict(zip(a["range"].to_pylist(), a["cell"].to_pylist(), strict=True))
@@ -635,21 +640,20 @@ def score_documents(
             else:
                 deep = Deep(own)
                 deep.answer(deep.asks.totals(ranges, cells))
-            open_, sent = len(deep.place), list(deep.asks.sent(after_ranges))
+            open_ = len(deep.place)
             deep.settle(total, prior, vocabulary)
             data = deep.state() if open_ else pack(**{k: deep.s[k] for k in ("n", "bits", "top", "context")})
-            s = s.set_column(2, "open", pa.array([open_], pa.int64())).set_column(4, "cell", pa.array([data], pa.binary()))
-            n, none = len(sent), lambda kind: pa.nulls(len(sent), kind)
-            cells = [pa.array([s["block"][0].as_py()] * n, pa.int64()), pa.array([r for r, _ in sent], pa.int32()), none(pa.int64()), none(pa.int64()), pa.array([c for _, c in sent], pa.binary()), none(s.schema.field("h1").type), none(s.schema.field("h2").type)]
-            return pa.concat_tables([s, pa.table(cells, schema=s.schema)])
+            return s.set_column(1, "open", pa.array([open_], pa.int64())).set_column(3, "cell", pa.array([data], pa.binary()))
 
         with _cleaned(spark):
-            answers = written(asked.groupBy("range").applyInArrow(merge, "block long, range int, cell binary"), "answers")
-            after = written(table.where("range is null").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "state")
+            asked = table.where("open > 0").select("block", "cell").mapInArrow(ask, "block long, range int, cell binary")
+            answers = asked.groupBy("range").applyInArrow(merge, "block long, range int, cell binary")
+            if step < 2:  # the largest lists: they are let go before the next states are written
+                answers = written(answers, "answers")
+            after = written(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, schema), "state", by="block")
         left = after.agg(F.sum("open")).first()[0] or 0
-        drop_written(spark, [path_of(answers), path_of(table)])
-        table, step, ranges = after, step + 1, after_ranges
-        asked = table.where("range is not null").select("block", "range", "cell")
+        drop_written(spark, [path_of(answers) if step < 2 else "", path_of(table)])
+        table, step = after, step + 1
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -658,5 +662,5 @@ def score_documents(
                 cells = [batch.column(0)[i].values, batch.column(1)[i].values, pa.array(n), pa.array(bits), pa.array(bits / n), pa.array(top.astype(np.int32)), pa.array(context / n)]
                 yield pa.RecordBatch.from_arrays(cells, names=["h1", "h2", "n_words", "bits", "bits_per_word", "longest_match", "mean_context"])
 
-    out = table.where("range is null").select("h1", "h2", "cell").mapInArrow(scored, "h1 long, h2 long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double")
+    out = table.select("h1", "h2", "cell").mapInArrow(scored, "h1 long, h2 long, n_words long, bits double, bits_per_word double, longest_match int, mean_context double")
     return names.join(out, ["h1", "h2"], "left").select(F.col("id").alias("doc_id"), "key", F.coalesce("n_words", F.lit(0)).alias("n_words"), "bits", "bits_per_word", "longest_match", "mean_context")
