@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,22 @@ def test_language(spark, text, want):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "conv_id int, turn int, text string")
     assert analyze_messages(empty).count() == 0 and analyze.analyze_sessions(empty).count() == 0
+
+
+def test_segments_agree_with_words(spark):
+    """Neighbours joined as the lexicon's own function does it: words of more than four characters, in mixed tokens, with marks, and the character that cuts."""
+    words = frozenset({"太好", "太好了", "好了", "一帆风顺", "了一", "他妈的", "妈的", "a好了b一", "好ab", "1他妈的太好", "\U00020000好", "", "了"})
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["太", "好", "了", "一", "帆", "风", "顺", "他", "妈", "的", "a", "b", "1", " ", "。", "́", "\x01", "\x01́", "\n", "\U00020000"], k=rng.randrange(1, 60))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", raw_tokens(F.col("text"), F.lit("zh"), words).alias("got"), raw_tokens(F.col("text"), F.lit("zh"), frozenset()).alias("none")).collect()
+    ideographs = [r for r in rows if any("一" <= c <= "鿿" or c == "\U00020000" for c in r.text)]
+    assert len(ideographs) > 1800 and any(len(x) > 4 for r in ideographs for x in r.got)
+    assert [(r.text, r.got) for r in ideographs if r.got != L.segment(L.pieces(r.text), words)] == []
+    assert [r.text for r in ideographs if r.none != L.pieces(r.text)] == []
+
+
+def test_long_ideographs_take_little_time(spark):
+    """The time follows the length: cut into words, 40,000 characters take as long as a page."""
+    row = spark.createDataFrame([("这太好了，一帆风顺" * 5000, "zh")], "text string, lang string").select(F.size(raw_tokens(F.col("text"), F.col("lang"))).alias("n"))
+    began = time.monotonic()
+    assert row.first().n == 15000 and time.monotonic() - began < 30

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from ..lexicon import IDEOGRAPHS, builtin
 #: So this is what parts them. Java's regular expressions recurse for repeated groups, and a piece may be as long as a text: there is none here.
 SEPARATOR = r"[^a-z0-9A-Z\p{L}\p{M}\p{N}](?!\p{M})"
 _CUT = "\x01"
+#: A cut between tokens; before a mark, the character belongs to a token.
+_BETWEEN = _CUT + r"(?!\p{M})"
+_ENDS = rf"(?={_BETWEEN}|\z)"
 
 
 @lru_cache(maxsize=1)
@@ -59,23 +63,30 @@ def pieces(text: Column) -> Column:
     return F.when(has_ideograph(text), single).otherwise(found)
 
 
+def _in_tokens(word: str, k: int) -> list[str]:
+    """Regular expressions of the word cut into k tokens, one for each way to cut it."""
+    chars = [f"\\x{{{ord(c):x}}}" for c in word]
+    ways = combinations(range(1, len(chars)), k - 1)
+    return [_BETWEEN.join("".join(chars[i:j]) for i, j in pairwise((0, *at, len(chars)))) for at in ways]
+
+
+@lru_cache(maxsize=8)
+def _joins(words: frozenset[str]) -> tuple[str, str] | None:
+    """What finds two to four neighbours that are a word, the most of them first, and what puts them together. The look ahead bounds what the groups take."""
+    ways, n = [], 0
+    for k in (4, 3, 2):
+        if cut := [x for w in sorted(words) for x in _in_tokens(w, k)]:
+            ways.append(f"(?=(?:{'|'.join(cut)}){_ENDS})" + _BETWEEN.join([f"([^{_CUT}]+)"] * k))
+            n += k
+    return (f"(?:^|(?<={_CUT})(?!\\p{{M}}))(?:{'|'.join(ways)}){_ENDS}", "".join(f"${i + 1}" for i in range(n))) if ways else None
+
+
 def segmented(raw: Column, words: frozenset[str]) -> Column:
-    """Greedy longest join of up to four neighbouring tokens that is a known word, from the left."""
-    known = sorted(words)
-    empty = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
-    joined = lambda i, k: F.array_join(F.slice(raw, i + 1, k), "")
-    n = F.size(raw)
-
-    def step(acc: Column, i: Column) -> Column:
-        take = F.lit(1)
-        for k in (2, 3, 4):  # the longest counts
-            take = F.when((i + k <= n) & joined(i, F.lit(k)).isin(known), k).otherwise(take)
-        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out"))).otherwise(
-            F.struct((take - 1).alias("skip"), F.concat(acc["out"], F.array(joined(i, take))).alias("out"))
-        )
-
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, empty, step)["out"]
+    """Greedy longest join of up to four neighbouring tokens that is a known word, from the left; the whole list is read once, as one string."""
+    joins = _joins(words)
+    if joins is None:
+        return raw
+    return F.array_remove(F.split(F.regexp_replace(F.array_join(raw, _CUT), *joins), _BETWEEN), "")
 
 
 def raw_tokens(text: Column, lang: Column | None = None, words: frozenset[str] | None = None) -> Column:
