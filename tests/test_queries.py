@@ -49,3 +49,15 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination()
     got = [(r.n_messages, r.mean_score) for r in spark.table("live").orderBy("start").collect()]
     assert got == [(2, 0.0), (1, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["topic_hist", "claude_counters", "codex_counters"])
+def test_topics_beside_other_letters(spark, tmp_path, name):
+    """Words beside letters that aren't ASCII, digits, marks and an underscore: the topics are those of the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [a + w + b for w in ("test", "python", "blog", "Claude", "tmux", "swift") for a in ("", "ü", "é ", "x", "_", "7", "ß") for b in ("", "ä", " ö", "s", "_", "٣", "́")]
+    talk = [(i, 0, "user", t) for i, t in enumerate(texts)] + [(i, 1, "system", t) for i, t in enumerate(texts)] + [(i, 2, "assistant", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())

@@ -5,6 +5,7 @@ Counters are (session, kind, key, n) rows, so totals and top lists of any kind a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,13 +27,25 @@ TOPICS_B = {
 STOP_A = "ahora como con de del donde el en esta está esto hacer la las lo los luego mas me mi muy más nada para pero por porque puede puedo que quiero sin sobre solo tengo tiene todo tu un una unas uno unos y".split()
 STOP_B = [w for w in STOP_A if w not in "donde luego muy nada tengo tiene".split()]
 WORD = r"(?U)\b\w{3,}\b"
+ASCII_WORD = "[0-9A-Za-z_]"
 UNKNOWN = "unknown"
 
 
-def topics(text: Column, patterns: Mapping[str, str]) -> Column:
-    """The names whose pattern is in the text, in any case."""
-    low = F.lower(text)
-    return F.filter(F.array(*(F.when(low.rlike(f"(?U){p}"), n) for n, p in sorted(patterns.items()))), lambda x: x.isNotNull())
+def _ascii(pattern: str) -> str:
+    """The pattern with word borders as RE2 has them: only ASCII letters, digits and _ make words. Java's own borders see other letters too."""
+
+    def plain(m: re.Match) -> str:
+        if m[1]:  # before a letter: it is looked for first, as the border is dearer
+            return f"(?={m[1]})(?<!{ASCII_WORD}){m[1]}"
+        return f"(?:(?<={ASCII_WORD})(?!{ASCII_WORD})|(?<!{ASCII_WORD})(?={ASCII_WORD}))" if m[2] == "b" else m[0]
+
+    return re.sub(r"\\(?:b([0-9A-Za-z_])(?![?*{])|(.))", plain, pattern)
+
+
+def topics(text: Column, patterns: Mapping[str, str], ascii_borders: bool = False) -> Column:
+    """The names whose pattern is in the text, in any case. ascii_borders: a letter such as ä is no part of a word, as in SQL; else it is, as in the original."""
+    low, of = F.lower(text), _ascii if ascii_borders else "(?U){}".format
+    return F.filter(F.array(*(F.when(low.rlike(of(p)), n) for n, p in sorted(patterns.items()))), lambda x: x.isNotNull())
 
 
 def url_hosts(text: Column) -> Column:
@@ -103,14 +116,14 @@ def claude_sessions(records: DataFrame, index: DataFrame | None = None, cwd_patt
     }).drop("file_id", "first_ts", "last_ts", "prompt")
 
 
-def claude_counters(records: DataFrame, patterns: Mapping[str, str] | None = None) -> DataFrame:
+def claude_counters(records: DataFrame, patterns: Mapping[str, str] | None = None, ascii_borders: bool = False) -> DataFrame:
     """(path, kind, key, n): folders, permission modes, models, topics, slash commands and URL hosts of each file."""
     patterns = patterns or TOPICS_A
     said = F.when(((F.col("type") == "user") & ~F.col("is_meta")) | ((F.col("type") == "queue-operation") & (F.col("operation") == "enqueue")), F.col("content"))
     none = F.array().cast("array<string>")
     each = F.concat(
         _kind("cwd", F.array("cwd")), _kind("permission_mode", F.array("permission_mode")), _kind("model", F.array(F.when(F.col("type") == "assistant", F.col("model")))),
-        _kind("topic", F.coalesce(topics(said, patterns), none)), _kind("slash", F.array(slash_command(said))), _kind("url", F.coalesce(url_hosts(said), none)),
+        _kind("topic", F.coalesce(topics(said, patterns, ascii_borders), none)), _kind("slash", F.array(slash_command(said))), _kind("url", F.coalesce(url_hosts(said), none)),
     )
     return records.select("path", F.explode(each).alias("x")).groupBy("path", "x").agg(F.count("*").alias("n")).select("path", "x.kind", "x.key", "n")
 
@@ -141,10 +154,10 @@ def codex_sessions(threads: DataFrame, history: DataFrame, rollouts: DataFrame,
     return out.where(F.col("cwd").contains(cwd_pattern)) if cwd_pattern else out
 
 
-def codex_counters(history: DataFrame, rollouts: DataFrame, patterns: Mapping[str, str] | None = None) -> DataFrame:
+def codex_counters(history: DataFrame, rollouts: DataFrame, patterns: Mapping[str, str] | None = None, ascii_borders: bool = False) -> DataFrame:
     """(session_id, kind, key, n): topics and URL hosts of prompts and messages, tools and models."""
     patterns, none = patterns or TOPICS_B, F.array().cast("array<string>")
-    talk = lambda c: F.concat(_kind("topic", F.coalesce(topics(c, patterns), none)), _kind("url", F.coalesce(url_hosts(c), none)))
+    talk = lambda c: F.concat(_kind("topic", F.coalesce(topics(c, patterns, ascii_borders), none)), _kind("url", F.coalesce(url_hosts(c), none)))
     past = history.where("session_id <> ''").select("session_id", F.explode(talk(F.col("text"))).alias("x"))
     said = F.when((F.col("type") == "event_msg") & (F.col("payload_type") == "user_message"), F.col("message"))
     tool, model = F.when((F.col("type") == "response_item") & (F.col("payload_type") == "function_call"), F.col("name")), F.when(F.col("type") == "turn_context", F.col("model"))
