@@ -224,3 +224,14 @@ def test_long_ideographs_take_little_time(spark):
     row = spark.createDataFrame([("这太好了，一帆风顺" * 5000, "zh")], "text string, lang string").select(F.size(raw_tokens(F.col("text"), F.col("lang"))).alias("n"))
     began = time.monotonic()
     assert row.first().n == 15000 and time.monotonic() - began < 30
+
+
+def test_join_holds_few_tokens_a_row(spark):
+    """What the join sends grows with a message's length, not with its square, and Spark knows that the lexicon is small."""
+    lex = match.lexicon_table(spark, L.builtin())
+    assert lex._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 256 << 10
+    long_ = spark.createDataFrame([(1,), (2,)], "key long").select("key", F.lit("en").alias("lang"), F.array_repeat(F.lit("bad"), 20_000).alias("norm"))
+    found = match.found_by_join(long_, lex)
+    began = time.monotonic()
+    assert [r.n for r in found.select(F.size("candidates").alias("n")).collect()] == [20_000] * 2 and time.monotonic() - began < 60
+    assert match.found_by_join(long_, lex.limit(0)).count() == 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +67,20 @@ def found(norm: Column, lang: Column, lexicon: Lexicon) -> Column:
 
 def found_by_join(messages: DataFrame, lexicon: DataFrame, key: str = "key", norm: str = "norm", lang: str = "lang") -> DataFrame:
     """(key, candidates) for the messages that have any. lexicon: as ``lexicon_table`` gives it; Spark broadcasts it if it is small, and shuffles both sides if not."""
-    tokens = messages.select(key, lang, norm, F.posexplode(norm).alias("start", "first"))
+    # a token row holds as many tokens as the longest entry, not the whole message: else what is shuffled grows with the square of its length
+    ahead = F.slice(F.col(norm), F.col("start") + 1, F.coalesce(lexicon.select(F.max("n")).scalar(), F.lit(0)))
+    tokens = messages.select(key, lang, norm, F.posexplode(norm).alias("start", "first")).select(key, lang, "start", "first", ahead.alias("__ahead"))
     lex = lexicon.withColumnRenamed("lang", "lex_lang").withColumn("first", F.element_at("tokens", 1))
-    ok = (F.col(lang).isNull() | (F.col("lex_lang") == F.col(lang)) | F.col("any_lang")) & (F.slice(F.col(norm), F.col("start") + 1, F.col("n")) == F.col("tokens"))
+    ok = (F.col(lang).isNull() | (F.col("lex_lang") == F.col(lang)) | F.col("any_lang")) & (F.slice("__ahead", 1, F.col("n")) == F.col("tokens"))
     match = F.struct("rank", "start", (F.col("start") + F.col("n") - 1).alias("end"), "text", "type", F.col("lex_lang").alias("lang"), "score")
     return tokens.join(lex, "first").where(ok).groupBy(key).agg(F.collect_list(match).alias("candidates"))
 
 
 def lexicon_table(spark, lexicon: Lexicon) -> DataFrame:
-    """(rank, n, tokens, text, type, lang, score, any_lang): one row for each entry, in order of rank."""
-    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in _rows(lexicon)], _CANDIDATE)
+    """(rank, n, tokens, text, type, lang, score, any_lang): one row for each entry, in order of rank. It comes to Spark as an Arrow table, whose size the planner knows: a small one is broadcast."""
+    kinds = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _CANDIDATE.split(", "))])
+    return spark.createDataFrame(pa.Table.from_pylist(_rows(lexicon), schema=schema), _CANDIDATE)
 
 
 def expressions(matches: Column, kind: str) -> Column:
